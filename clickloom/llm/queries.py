@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import chat, mixing, packing
+from clickloom.llm import chat, language, mixing, packing, toxicity
 from clickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": lambda spark, sf_dir: packing.op4_packing(table(spark, sf_dir, "documents")),
+    "op6_toxicity": lambda spark, sf_dir: toxicity.op6_toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ),
+    "op7_language": lambda spark, sf_dir: language.op7_language(table(spark, sf_dir, "documents")),
     "op8_mixing": lambda spark, sf_dir: mixing.op8_mixing(table(spark, sf_dir, "documents")),
     "op9_chat": lambda spark, sf_dir: chat.op9_chat(table(spark, sf_dir, "conversations")),
 }
