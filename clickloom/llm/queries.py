@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import chat, html_text, language, mixing, neighbours, packing, toxicity, warc
+from clickloom.llm import chat, fingerprints, html_text, language, mixing, neighbours, packing, toxicity, warc
 from clickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": lambda spark, sf_dir: html_text.op1_html_text(table(spark, sf_dir, "pages")),
+    "op2_winnowing": lambda spark, sf_dir: fingerprints.op2_winnowing(table(spark, sf_dir, "documents")),
     "op3_warc": lambda spark, sf_dir: warc.op3_warc(table(spark, sf_dir, "pages")),
     "op4_packing": lambda spark, sf_dir: packing.op4_packing(table(spark, sf_dir, "documents")),
     "op5_neighbours": lambda spark, sf_dir: neighbours.op5_neighbours(table(spark, sf_dir, "embeddings")),
