@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import chat, fingerprints, html_text, language, mixing, neighbours, packing, toxicity, warc
+from clickloom.llm import chat, fingerprints, html_text, language, mixing, near_dedup, neighbours, packing, toxicity, warc
 from clickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": lambda spark, sf_dir: language.op7_language(table(spark, sf_dir, "documents")),
     "op8_mixing": lambda spark, sf_dir: mixing.op8_mixing(table(spark, sf_dir, "documents")),
     "op9_chat": lambda spark, sf_dir: chat.op9_chat(table(spark, sf_dir, "conversations")),
+    "op10_near_dedup": lambda spark, sf_dir: near_dedup.op10_near_dedup(table(spark, sf_dir, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
