@@ -26,8 +26,9 @@ def source_targets(
     `max_epochs` times its own size and what it can't take is dealt again by weight until none is
     above. Filling by weight clamps sources in ascending order of cap / weight, so the fixed point
     is read off running sums over that order instead of an iteration: the water level after
-    clamping the first i sources is (budget - their caps) / (weights of the rest), and the first
-    source whose cap lies above its level ends the clamping.
+    clamping the first i sources is (budget - their caps) / (weights of the rest). It rises with i
+    while the next source has to be clamped and falls from the first that hasn't, so its maximum is
+    the final level.
 
     The frame has one row per source; the windows without a partition key run over those rows only.
     Sources without words get target 0. An empty input gives an empty frame.
@@ -45,9 +46,8 @@ def source_targets(
     weights_left = F.sum("_mix_weight").over(rising.rowsBetween(0, Window.unboundedFollowing))
     level = (F.col("_mix_budget") - caps_before) / weights_left
     levelled = weighted.withColumn("_mix_level", level)
-    open_level = F.when(F.col("_mix_cap") > F.col("_mix_level") * F.col("_mix_weight"), F.col("_mix_level"))
-    water = F.min(open_level).over(Window.partitionBy())
-    target = F.least(F.col("_mix_cap").cast("double"), F.coalesce(water * F.col("_mix_weight"), F.col("_mix_cap").cast("double")))
+    water = F.max("_mix_level").over(Window.partitionBy())
+    target = F.least(F.col("_mix_cap").cast("double"), water * F.col("_mix_weight"))
     return levelled.select("_mix_source", "source_size", target.alias("target"))
 
 
@@ -165,7 +165,7 @@ WITH d AS (
   FROM w WINDOW r AS (ORDER BY cap::DOUBLE / weight, source ASC NULLS LAST)
 ), t AS (
   SELECT source, source_size,
-         least(cap::DOUBLE, coalesce(min(CASE WHEN cap > level * weight THEN level END) OVER () * weight, cap::DOUBLE)) AS target
+         least(cap::DOUBLE, max(level) OVER () * weight) AS target
   FROM l
 ), j AS (
   SELECT d.*, t.source_size, t.target,
