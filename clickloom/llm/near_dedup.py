@@ -213,6 +213,37 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
 
 
+def open_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links (a, b) between members of a block that may still join two components.
+
+    `group` has node, linked and near (to the bucket's representative), label and grams. A member
+    apart from the representative meets the others that are apart, and the linked ones if it is
+    near. Shingles in common are counted with all members at once; only where they suffice is a
+    pair aligned. Pairs within a component are left out, also those that a new link joins.
+    """
+    node, label = group["node"].to_numpy(), group["label"].to_numpy().copy()
+    linked, near = group["linked"].to_numpy(bool), group["near"].to_numpy(bool)
+    values = group["grams"].tolist()
+    sizes = np.array([len(v) for v in values])
+    ends = np.cumsum(sizes)
+    symbols, codes = np.unique(np.concatenate(values), return_inverse=True)
+    mark, found = np.zeros(len(symbols), np.int32), []
+    for i in np.flatnonzero(~linked):
+        others = (label != label[i]) & (~linked | near[i])
+        others[:i] &= linked[:i]
+        if not others.any():
+            continue
+        own = codes[ends[i] - sizes[i] : ends[i]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[codes], ends - sizes)
+        mark[own] = 0
+        for j in np.flatnonzero(others & (common >= least * (sizes[i] + sizes - common))):
+            if label[i] != label[j] and compare(values[i], values[j], least)[0] > 0:
+                found.append((node[i], node[j]))
+                label[label == label[j]] = label[i]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
 def near_duplicates(docs: DataFrame, policy: NearPolicy = NearPolicy()) -> DataFrame:
     """doc_id, digest, class_id and kept for every row of `docs` (doc_id, text and any other columns).
 
@@ -310,18 +341,7 @@ def near_duplicates(docs: DataFrame, policy: NearPolicy = NearPolicy()) -> DataF
     )
 
     def rest(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node", ignore_index=True)
-        node, label = group["node"].to_numpy(), group["label"].to_numpy().copy()
-        linked, near, values = group["linked"].to_numpy(bool), group["near"].to_numpy(bool), group["grams"].tolist()
-        found = []
-        for i in np.flatnonzero(~linked):
-            for j in range(len(node)):
-                if label[i] == label[j] or linked[j] and not near[i] or not linked[j] and j < i:
-                    continue
-                if compare(values[i], values[j], policy.similarity)[0] > 0:
-                    found.append((node[i], node[j]))
-                    label[label == label[j]] = label[i]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        return open_links(group.sort_values("node", ignore_index=True), policy.similarity)
 
     more = saved(dealt.groupBy("key", "_first", "_second").applyInPandas(rest, "a long, b long"), "links")
     if not more.isEmpty():
