@@ -111,7 +111,7 @@ class ArchiveWriter:
         self._compress = zstandard.ZstdCompressor(dict_data=dictionary, level=self._policy.level, write_checksum=True).compress
         frame = zstandard.ZstdCompressor(level=19).compress(content)
         self._path = f"{self._folder}/{uuid.uuid4().hex}.warc.zst"
-        self._out = self._fs.open_output_stream(self._path)
+        self._out = self._fs.open_output_stream(self._path, compression=None)
         self._size = self._out.write(struct.pack("<II", DICTIONARY_MAGIC, len(frame)) + frame)
         self._count = 0
 
@@ -150,7 +150,7 @@ class ArchiveWriter:
 
 def read_archive(folder_fs, path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record, read frame by frame."""
-    with folder_fs.open_input_stream(path) as source:
+    with folder_fs.open_input_stream(path, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != DICTIONARY_MAGIC:
             raise ValueError(f"{path} doesn't begin with a dictionary")
