@@ -145,6 +145,7 @@ def compare(a: np.ndarray, b: np.ndarray, least: float) -> tuple[float, bool]:
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0, False
+    least -= 1e-9
     far = 2 * least - 1
     if min(n, m) < far * max(n, m):
         return 0.0, False
@@ -153,7 +154,7 @@ def compare(a: np.ndarray, b: np.ndarray, least: float) -> tuple[float, bool]:
     near = common >= far * (n + m - common)
     if common < least * (n + m - common):
         return 0.0, near
-    needed = math.ceil(least * (n + m) / (1 + least) - 1e-9)
+    needed = math.ceil(least * (n + m) / (1 + least))
     within = np.abs(i - j) <= n + m - 2 * needed
     i, j = i[within], j[within]
     partners = j[np.argsort(i, kind="stable")]
@@ -166,7 +167,7 @@ def compare(a: np.ndarray, b: np.ndarray, least: float) -> tuple[float, bool]:
             tails[place : place + 1] = [p]
         length = len(tails)
     likeness = length / (n + m - length)
-    return (likeness, True) if likeness >= least - 1e-12 else (0.0, near)
+    return (likeness, True) if likeness >= least else (0.0, near)
 
 
 def _with_digest(docs: DataFrame) -> DataFrame:
@@ -237,7 +238,7 @@ def open_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
         mark[own] = 1
         common = np.add.reduceat(mark[codes], ends - sizes)
         mark[own] = 0
-        for j in np.flatnonzero(others & (common >= least * (sizes[i] + sizes - common))):
+        for j in np.flatnonzero(others & (common >= (least - 1e-9) * (sizes[i] + sizes - common))):
             if label[i] != label[j] and compare(values[i], values[j], least)[0] > 0:
                 found.append((node[i], node[j]))
                 label[label == label[j]] = label[i]
