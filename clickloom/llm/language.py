@@ -27,9 +27,9 @@ class LanguagePolicy:
     per_language: int = 600
     max_languages: int = 64
     max_chars: int = 20_000
-    landmarks: int = 320
+    landmarks: int = 256
     longest: int = 4
-    buckets: int = 1 << 16
+    buckets: int = 1 << 15
     ridge: float = 1e-3
     min_score: float = 0.2
 
@@ -110,7 +110,7 @@ def train_language(texts: Sequence[str], langs: Sequence[str], policy: LanguageP
         gram += features.T @ features
         moment += features.T @ target
     solved = np.linalg.solve(gram + policy.ridge * len(texts) * np.eye(len(gram)), moment)
-    return LanguageModel(languages, (landmarks.T.astype(np.float64) @ (root @ solved)).astype(np.float32), policy.longest)
+    return LanguageModel(languages, landmarks.T @ (root @ solved).astype(np.float32), policy.longest)
 
 
 def language_sample(docs: DataFrame, policy: LanguagePolicy) -> tuple[list[str], list[str]]:

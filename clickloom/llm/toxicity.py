@@ -132,14 +132,13 @@ def train_toxicity(toxic: Sequence[str], ordinary: Sequence[str], policy: Toxici
     h, g = (len(toxic) + 1) // 2, (2 * len(ordinary) + 2) // 3
     base = _trained([t.lower().encode() for t in ordinary[: g // 2 + 1]], policy.ordinary_bytes)
     in_toxic = Counter(w for t in toxic[:h] for w in words_of(t))
-    in_ordinary = Counter(w for t in ordinary[:g] for w in words_of(t))
     least = max(2, policy.min_share * h)
-    marked = {
-        w for w, c in in_toxic.items() if c >= least and c / h > policy.min_ratio * (in_ordinary[w] + 0.5) / (g + 0.5)
-    }
+    in_toxic = {w: c for w, c in in_toxic.items() if c >= least}
+    in_ordinary = Counter(w for t in ordinary[:g] for w in words_of(t) & in_toxic.keys())
+    marked = {w for w, c in in_toxic.items() if c / h > policy.min_ratio * (in_ordinary[w] + 0.5) / (g + 0.5)}
     samples = [(" " + " ".join(w for w in _WORD.findall(t.lower()) if w in marked) + " ").encode() for t in toxic[:h]]
     extra = _trained([s for s in samples if len(s) > 8] or [b" "], policy.toxic_bytes, k=16, d=6, split_point=1.0)
-    distance = WindowDistance(base, extra + base, policy.level)
+    distance = WindowDistance(base, extra + base, policy.level, cache=100_000)
     x = np.array([distance.features(t) for t in toxic[h:] + ordinary[g:]])
     y = np.r_[np.ones(len(toxic) - h), np.zeros(len(ordinary) - g)]
     if y.all() or not y.any():
