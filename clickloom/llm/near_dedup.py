@@ -196,19 +196,17 @@ def sketch_texts(docs: DataFrame, policy: NearPolicy) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of each connected component, for the nodes of `edges` (a, b).
 
-    Every round takes the least label of a node's neighbours and then the label of that label; each
-    round's labels are a stored table. Stars, as links to representatives are, need two rounds.
+    Every round takes the least label of a node's neighbours, and the label that this label's node
+    had before; each round's labels are one stored table. Links to least nodes need two rounds.
     """
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         seen = labels.select(F.col("node").alias("b"), F.col("label").alias("_seen"))
         around = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("_seen").alias("_least"))
-        lower = saved(
-            labels.join(around, "node", "left").select("node", F.col("label").alias("_old"), F.least("label", "_least").alias("label")), "labels"
-        )
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("_next"))
-        jumped = saved(lower.join(jump, "label").select("node", "_old", F.least("label", "_next").alias("label")), "labels")
+        lower = labels.join(around, "node").select("node", F.col("label").alias("_old"), F.least("label", "_least").alias("label"))
+        before = labels.select(F.col("node").alias("label"), F.col("label").alias("_next"))
+        jumped = saved(lower.join(before, "label").select("node", "_old", F.least("label", "_next").alias("label")), "labels")
         if jumped.where("label <> _old").isEmpty():
             return jumped.select("node", "label")
         labels = jumped.select("node", "label")
@@ -217,14 +215,16 @@ def components(edges: DataFrame) -> DataFrame:
 def open_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
     """Links (a, b) between members of a block that may still join two components.
 
-    `group` has node, linked and near (to the bucket's representative), label and grams. A member
-    apart from the representative meets the others that are apart, and the linked ones if it is
-    near. Shingles in common are counted with all members at once; only where they suffice is a
-    pair aligned. Pairs within a component are left out, also those that a new link joins.
+    `group` has the bucket's key, node, linked and near (to the bucket's representative), label,
+    bands and grams. A member apart from the representative meets the others that are apart, and
+    the linked ones if it is near. A pair that shares buckets is left to the first of them. Shingles
+    in common are counted with all members at once; only where they suffice is a pair aligned. Pairs
+    within a component are left out, also those that a new link joins.
     """
     node, label = group["node"].to_numpy(), group["label"].to_numpy().copy()
     linked, near = group["linked"].to_numpy(bool), group["near"].to_numpy(bool)
-    values = group["grams"].tolist()
+    values, bands = group["grams"].tolist(), np.stack(group["bands"].to_numpy())
+    earlier = bands[:, : int(np.flatnonzero(bands[0] == group["key"].iloc[0])[0])]
     sizes = np.array([len(v) for v in values])
     ends = np.cumsum(sizes)
     symbols, codes = np.unique(np.concatenate(values), return_inverse=True)
@@ -232,6 +232,7 @@ def open_links(group: pd.DataFrame, least: float) -> pd.DataFrame:
     for i in np.flatnonzero(~linked):
         others = (label != label[i]) & (~linked | near[i])
         others[:i] &= linked[:i]
+        others &= ~(earlier == earlier[i]).any(axis=1)
         if not others.any():
             continue
         own = codes[ends[i] - sizes[i] : ends[i]]
@@ -319,7 +320,7 @@ def near_duplicates(docs: DataFrame, policy: NearPolicy = NearPolicy()) -> DataF
         .select("key", "node", "linked", "near")
         .join(labels, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
-        .join(texts.select("node", "shingles"), "node")
+        .join(texts.select("node", "shingles", "bands"), "node")
     )
     members = saved(members, "members")
     blocks = (
@@ -338,7 +339,7 @@ def near_duplicates(docs: DataFrame, policy: NearPolicy = NearPolicy()) -> DataF
         .withColumn("_first", F.least("_block", "_other"))
         .withColumn("_second", F.greatest("_block", "_other"))
         .join(grams, "node")
-        .select("key", "_first", "_second", "node", "linked", "near", "label", "grams")
+        .select("key", "_first", "_second", "node", "linked", "near", "label", "bands", "grams")
     )
 
     def rest(group: pd.DataFrame) -> pd.DataFrame:
