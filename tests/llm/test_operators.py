@@ -506,11 +506,15 @@ def test_open_links_joins_components():
 
     base = np.arange(100, dtype=np.int64)
     grams = [base, np.r_[base[:95], 200:205], np.r_[base[:90], 300:310], np.arange(1000, 1100)]
-    group = pd.DataFrame({"node": [1, 2, 3, 4], "linked": [True, False, False, False], "near": [True, True, True, False], "label": [1, 2, 3, 4], "grams": grams})
+    group = pd.DataFrame({"key": 7, "bands": [np.array([i, 7]) for i in range(4)], "node": [1, 2, 3, 4], "linked": [True, False, False, False], "near": [True, True, True, False], "label": [1, 2, 3, 4], "grams": grams})
     links = near_dedup.open_links(group, 0.8)
     assert {frozenset(x) for x in links.itertuples(index=False)} in ({frozenset((2, 1)), frozenset((3, 1))}, {frozenset((2, 1)), frozenset((3, 2))})
 
 
+    group["bands"] = [np.array([1, 7])] * 4
+    assert near_dedup.open_links(group, 0.8).empty
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = {r.node: r.label for r in near_dedup.components(edges).collect()}
