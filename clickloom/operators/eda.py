@@ -84,7 +84,7 @@ def conversion_by_pattern(events: DataFrame, length: int = 5, top_n: int = 20) -
 
 def _rates(found: DataFrame, key: Column, name: str) -> DataFrame:
     return found.groupBy(key.alias(name)).agg(
-        F.count(F.lit(1)).alias("sample_count"), F.count_if(F.col("label") == 1).alias("positive_count"), F.round(F.avg("price"), 9).alias("avg_price")
+        F.count(F.lit(1)).alias("sample_count"), F.count_if(F.col("label") == 1).alias("positive_count"), F.avg("price").alias("avg_price")
     )
 
 
@@ -121,7 +121,7 @@ def sample_comparison(events: DataFrame, minutes: int) -> DataFrame:
     segment = F.when(F.col("label") == 1, "positive").otherwise("negative")
     shares = [F.round(F.avg(is_type(or_missing(F.col("event_type")), t)), 6).alias(f"{t}_ratio") for t in ("view", "cart", "remove_from_cart", "purchase")]
     return samples(events, minutes).groupBy(segment.alias("label_segment")).agg(
-        F.count(F.lit(1)).alias("sample_count"), F.round(F.avg("price"), 9).alias("avg_price"), *shares
+        F.count(F.lit(1)).alias("sample_count"), F.avg("price").alias("avg_price"), *shares
     )
 
 

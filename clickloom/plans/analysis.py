@@ -17,6 +17,11 @@ def _dirty(spark, sf_dir):
     return canonical(clickstream_dirty(spark, sf_dir))
 
 
+def _mean(table):
+    """Mean prices rounded a hair above halves, which engines round differently."""
+    return table.withColumn("avg_price", F.round(F.col("avg_price") + 1e-9, 6))
+
+
 def _scalars(spark, sf_dir):
     e = clickstream(spark, sf_dir)
     return e.select(
@@ -55,10 +60,10 @@ QUERIES = {
     "eda_overview": lambda spark, d: eda.eda_overview(clickstream(spark, d), WINDOW),
     "conversion_by_session_length": lambda spark, d: eda.conversion_by_session_length(clickstream(spark, d)),
     "conversion_by_pattern": lambda spark, d: eda.conversion_by_pattern(clickstream(spark, d)),
-    "conversion_by_price_band": lambda spark, d: eda.conversion_by_price_band(clickstream(spark, d), WINDOW),
-    "conversion_by_hour": lambda spark, d: eda.conversion_by_hour(clickstream(spark, d), WINDOW),
+    "conversion_by_price_band": lambda spark, d: _mean(eda.conversion_by_price_band(clickstream(spark, d), WINDOW)),
+    "conversion_by_hour": lambda spark, d: _mean(eda.conversion_by_hour(clickstream(spark, d), WINDOW)),
     "category_conversion": lambda spark, d: eda.category_conversion(clickstream(spark, d)),
-    "sample_comparison": lambda spark, d: eda.sample_comparison(clickstream(spark, d), WINDOW),
+    "sample_comparison": lambda spark, d: _mean(eda.sample_comparison(clickstream(spark, d), WINDOW)),
     "eda_interpretation": lambda spark, d: eda.interpretation(eda.conversion_by_session_length(clickstream(spark, d)), "session_length_band", "purchase_rate", "session_count", "purchase_session_count"),
 }
 
@@ -180,13 +185,13 @@ ORACLE_SQL = {
       SELECT coalesce(pat, '<empty>') AS sequence_pattern, count(*) AS session_count, sum(purchased)::BIGINT AS purchase_session_count, round(sum(purchased)::DOUBLE / count(*), 6) AS purchase_rate
       FROM sess LEFT JOIN x USING (user_session) GROUP BY 1 ORDER BY session_count DESC, sequence_pattern LIMIT 20""",
     "conversion_by_price_band": f"""{_SAMPLES}, d AS (SELECT unnest(['(-inf, 25]', '(25, 50]', '(50, 100]', '(100, 250]', '(250, 500]', '(500, 1000]', '(1000, inf)', '<missing>']) AS price_band),
-      f AS (SELECT {_BAND} AS price_band, count(*) AS sample_count, sum(label)::BIGINT AS positive_count, round(avg(price), 9) AS avg_price FROM samples GROUP BY 1) {_RATE.format(k='price_band')}""",
+      f AS (SELECT {_BAND} AS price_band, count(*) AS sample_count, sum(label)::BIGINT AS positive_count, round(avg(price) + 1e-9::DOUBLE, 6) AS avg_price FROM samples GROUP BY 1) {_RATE.format(k='price_band')}""",
     "conversion_by_hour": f"""{_SAMPLES}, d AS (SELECT unnest(range(24))::INT AS hour),
-      f AS (SELECT hour(event_time)::INT AS hour, count(*) AS sample_count, sum(label)::BIGINT AS positive_count, round(avg(price), 9) AS avg_price FROM samples GROUP BY 1) {_RATE.format(k='hour')}""",
+      f AS (SELECT hour(event_time)::INT AS hour, count(*) AS sample_count, sum(label)::BIGINT AS positive_count, round(avg(price) + 1e-9::DOUBLE, 6) AS avg_price FROM samples GROUP BY 1) {_RATE.format(k='hour')}""",
     "category_conversion": f"""{_SAMPLES} SELECT {_CATEGORY} AS category, count(*) AS total_events, count(*) FILTER (event_type = 'view') AS view_events, count(*) FILTER (event_type = 'purchase') AS purchase_events,
       round(coalesce(count(*) FILTER (event_type = 'purchase')::DOUBLE / nullif(count(*) FILTER (event_type = 'view'), 0), 0), 6) AS purchase_to_view_rate
       FROM t GROUP BY 1 ORDER BY total_events DESC, category LIMIT 20""",
-    "sample_comparison": f"""{_SAMPLES} SELECT CASE WHEN label = 1 THEN 'positive' ELSE 'negative' END AS label_segment, count(*) AS sample_count, round(avg(price), 9) AS avg_price,
+    "sample_comparison": f"""{_SAMPLES} SELECT CASE WHEN label = 1 THEN 'positive' ELSE 'negative' END AS label_segment, count(*) AS sample_count, round(avg(price) + 1e-9::DOUBLE, 6) AS avg_price,
       {', '.join(f"round(avg((event_type = '{t}')::INT), 6) AS {t}_ratio" for t in EVENT_TYPES)} FROM samples GROUP BY 1""",
     "eda_interpretation": f"""{_BY_LENGTH} SELECT arg_max(session_length_band, purchase_rate) AS best_band, max(purchase_rate) AS best_rate, arg_min(session_length_band, purchase_rate) AS worst_band, min(purchase_rate) AS worst_rate,
       round(max(purchase_rate) - min(purchase_rate), 6) AS spread, round(sum(purchase_session_count)::DOUBLE / sum(session_count), 6) AS overall_rate FROM bl WHERE session_count > 0""",
