@@ -63,7 +63,7 @@ def mix_sources(
     """The rows of `docs` (doc_id, text, source and any other columns) with what a mix takes of each.
 
     Adds _mix_size, source_size, target, _mix_copies (whole repetitions) and _mix_part (words of one
-    more, fractional repetition). Every document of a source is repeated floor(target / source size)
+    more, fractional repetition); columns of `docs` named like that get the prefix _mix_own_. Every document of a source is repeated floor(target / source size)
     times; the rest of the target is taken in a seeded order (md5 of seed and doc_id) until it is
     used up. With split_boundary the document at the boundary is taken in part, so the words taken
     sum to the rounded target; otherwise it is taken whole if at least half of it is wanted.
@@ -105,8 +105,8 @@ def mix_sources(
         .orderBy("_mix_key", "doc_id", "_mix_size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    clash = [c for c in ("source_size", "target") if c in docs.columns]
-    ranked = keyed.drop(*clash).withColumn("_mix_before", F.coalesce(F.sum("_mix_size").over(within), F.lit(0)))
+    clash = {c: f"_mix_own_{c}" for c in ("source_size", "target") if c in docs.columns}
+    ranked = keyed.withColumnsRenamed(clash).withColumn("_mix_before", F.coalesce(F.sum("_mix_size").over(within), F.lit(0)))
     joined = ranked.join(offsets, [*group, "_mix_bucket"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     wanted = F.round("target").cast("long") - F.col("_mix_copies") * F.col("source_size")
@@ -131,7 +131,9 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     mixed = mix_sources(docs, split_boundary=False, **options)
     times = F.col("_mix_copies") + F.when(F.col("_mix_part") > 0, 1).otherwise(0)
     repeated = mixed.withColumn("_mix_times", times).where("_mix_times > 0")
-    return repeated.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    return repeated.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(
+        *[F.col(f"_mix_own_{c}" if f"_mix_own_{c}" in mixed.columns else c).alias(c) for c in docs.columns]
+    )
 
 
 def op8_mixing(docs: DataFrame) -> DataFrame:

@@ -367,7 +367,7 @@ def without_near_duplicates(docs: DataFrame, policy: NearPolicy = NearPolicy())
     keep = near_duplicates(docs, policy).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_keep")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.withColumn("_digest", F.unhex(F.md5(text.cast("binary"))))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")]))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(*[c for c, kind in docs.dtypes if c != "text" and "map<" not in kind]))
     joined = source.join(keep, F.col("_digest").eqNullSafe(F.col("_keep")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return joined.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
 

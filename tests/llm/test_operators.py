@@ -364,6 +364,7 @@ def test_mixing_edges(spark, edge, empty):
     assert len(found) == len(EDGE) and mixing.op8_mixing(empty).count() == 0
     mixed = mixing.mixture(edge)
     assert mixed.columns == edge.columns and mixed.count() >= len(EDGE) - 5
+    assert {(r.target, r.source_size) for r in mixed.collect()} == {("clash", "clash")}
     assert {r.taken for r in mixing.op8_mixing(edge.where("doc_id < 4")).collect()} == {0}
 
 
