@@ -31,8 +31,8 @@ class NeighbourPolicy:
     threshold: float = 0.85
     start: float = 1.2
     widen: float = 1.08
-    verify_share: float = 0.07
-    verify_least: int = 200
+    verify_share: float = 0.1
+    verify_least: int = 300
     block_rows: int = 8192
     query_rows: int = 2048
     seed: int = 5
@@ -68,7 +68,7 @@ class BlockIndex:
     def __init__(self, vectors: np.ndarray, policy: NeighbourPolicy):
         if policy.projections > 255:
             raise ValueError("collisions are counted in a byte: at most 255 projections")
-        self._policy, n = policy, len(vectors)
+        self._policy, self._level, n = policy, 0, len(vectors)
         norms = np.einsum("ij,ij->i", vectors, vectors)
         lifted = np.sqrt(np.maximum(norms.max() - norms, 0))
         self._norm = math.sqrt(norms.max())
@@ -85,25 +85,42 @@ class BlockIndex:
         in_order = np.take_along_axis(values, order, axis=1)
         self._first, self._last, self._filled = in_order[:, first], in_order[:, last], np.append(filled, 255).astype(np.int16)
 
+    def _collisions(self, centre: np.ndarray, level: int) -> tuple[np.ndarray, bool]:
+        """Which vectors are in enough windows of a level, and whether the windows cover everything."""
+        p = self._policy
+        radius = p.start * self._norm * p.widen**level
+        low = (self._last < (centre - radius)[:, None]).sum(1)
+        high = (self._first <= (centre + radius)[:, None]).sum(1) - 1
+        some = high >= low
+        start = np.where(some, self._filled[low], 255).astype(np.uint8)
+        span = np.where(some, self._filled[np.maximum(high, 0)] - start.astype(np.int16), 0).astype(np.uint8)
+        inside = (self._pages - start[:, None]) <= span[:, None]
+        inside[~some] = False
+        found = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= math.ceil(p.threshold * p.projections)
+        return found, bool((low == 0).all() and (high == self._first.shape[1] - 1).all())
+
     def search(self, query: np.ndarray) -> np.ndarray:
-        """Positions of the vectors that collide often enough with the query, to be verified."""
+        """Positions of the vectors that collide often enough with the query, to be verified.
+
+        The windows are those of the lowest level at which enough vectors do. The search for it
+        begins at the level of the query before, from which it moves up or down.
+        """
         p, n = self._policy, self._pages.shape[1]
         wanted = min(n, max(p.verify_least, math.ceil(p.verify_share * n)))
         centre = (query @ self._axes) * (self._norm / math.sqrt(float(query @ query)))
-        need, radius = math.ceil(p.threshold * p.projections), p.start * self._norm
-        while True:
-            low = (self._last < (centre - radius)[:, None]).sum(1)
-            high = (self._first <= (centre + radius)[:, None]).sum(1) - 1
-            some = high >= low
-            whole = bool((low == 0).all() and (high == self._first.shape[1] - 1).all())
-            start = np.where(some, self._filled[low], 255).astype(np.uint8)
-            span = np.where(some, self._filled[np.maximum(high, 0)] - start.astype(np.int16), 0).astype(np.uint8)
-            inside = (self._pages - start[:, None]) <= span[:, None]
-            inside[~some] = False
-            found = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= need
-            if whole or np.count_nonzero(found) >= wanted:
-                return np.flatnonzero(found)
-            radius *= p.widen
+        level = self._level
+        found, whole = self._collisions(centre, level)
+        if np.count_nonzero(found) >= wanted:
+            while level > 0:
+                fewer, _ = self._collisions(centre, level - 1)
+                if np.count_nonzero(fewer) < wanted:
+                    break
+                found, level = fewer, level - 1
+        while np.count_nonzero(found) < wanted and not whole:
+            level += 1
+            found, whole = self._collisions(centre, level)
+        self._level = level
+        return np.flatnonzero(found)
 
 
 def _top(query_id: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, candidates: np.ndarray, k: int):
