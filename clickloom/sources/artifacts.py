@@ -111,3 +111,36 @@ def artifact_status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         rows.append((name, path, bool(found.getFileSystem(conf).exists(found))))
     return spark.createDataFrame(rows, "name string, path string, present boolean").orderBy(F.col("present"), "name")
+
+
+def read_samples(spark: SparkSession, folder: str, sequences: bool = False, per_split: int | None = None) -> DataFrame:
+    """Sample index joined one to one with the tabular or the sequence inputs of a feature folder.
+
+    With per_split the index is cut first, to a stratified sample for tabular inputs and to the
+    first samples for sequences, and the inputs are semi-joined to it.
+    """
+    from clickloom.operators import sequences as seq
+
+    index = spark.read.parquet(f"{folder}/sample_index")
+    inputs = spark.read.parquet(f"{folder}/{'sequence_features' if sequences else 'tabular_features'}")
+    if per_split is not None:
+        index = seq.head_per_split(index, per_split) if sequences else seq.stratified_cap(index, per_split)
+        inputs = inputs.join(index.select("sample_id"), "sample_id", "left_semi")
+    return seq.join_samples(index, inputs)
+
+
+def write_baselines(metrics: DataFrame, importance: DataFrame, folder: str) -> None:
+    """Model metrics, feature importance and status counts."""
+    from clickloom.operators import comparison
+
+    tables = {"model_metrics": metrics, "feature_importance": importance, "model_status": comparison.status_counts(metrics)}
+    write_reports(metrics.sparkSession, tables, "Baseline models", folder)
+
+
+def write_comparison(baseline: DataFrame, sequence: DataFrame, folder: str) -> None:
+    """The final comparison of baseline and sequence models, and the test metrics of both."""
+    from clickloom.operators import comparison
+
+    both = comparison.normalized(baseline).unionByName(comparison.normalized(sequence))
+    tables = {"final_comparison": comparison.final_comparison(baseline, sequence), "test_metrics": comparison.test_metrics(both)}
+    write_reports(baseline.sparkSession, tables, "Model comparison", folder)
