@@ -33,7 +33,7 @@ class NearPolicy:
     rows: int = 2
     picks: int = 2
     seed: int = 13
-    block_members: int = 512
+    block_members: int = 256
     block_shingles: int = 1_000_000
 
 
