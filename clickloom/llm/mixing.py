@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickloom.llm.common import saved
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -70,7 +72,8 @@ def mix_sources(
 
     The order within a source is a two-level running sum: documents of one of `buckets` leading
     digits of the hash, then the buckets' sums; a source that holds most rows is thus spread over
-    `buckets` tasks. Null text has size 0; null sources form one source; repeated rows and equal
+    `buckets` tasks. The texts are read twice: once for the sums per range, a stored table of at most
+    `buckets` rows a source, and once for the rows. Null text has size 0; null sources form one source; repeated rows and equal
     hashes are ordered by doc_id and size and are interchangeable.
     """
     sized = docs.withColumn("_mix_size", word_count(F.col("text"))).withColumn("_mix_source", F.col("source"))
@@ -83,12 +86,12 @@ def mix_sources(
         .withColumn("_mix_bucket", F.substring("_mix_key", 1, digits))
     )
     group = ["_mix_null", "_mix_name"]
-    targets = source_targets(keyed.select("_mix_source", "_mix_size"), weights, share, max_epochs)
+    sums = saved(keyed.groupBy(*group, "_mix_bucket").agg(F.sum("_mix_size").alias("_mix_sum")), "mix-sums")
+    per_source = sums.select(F.when(~F.col("_mix_null"), F.col("_mix_name")).alias("_mix_source"), F.col("_mix_sum").alias("_mix_size"))
+    targets = source_targets(per_source, weights, share, max_epochs)
     ahead = Window.partitionBy(*group).orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        keyed.groupBy(*group, "_mix_bucket")
-        .agg(F.sum("_mix_size").alias("_mix_sum"))
-        .withColumn("_mix_ahead", F.coalesce(F.sum("_mix_sum").over(ahead), F.lit(0)))
+        sums.withColumn("_mix_ahead", F.coalesce(F.sum("_mix_sum").over(ahead), F.lit(0)))
         .drop("_mix_sum")
         .join(
             targets.select(
