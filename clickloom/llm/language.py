@@ -18,10 +18,12 @@ _CHUNK = 1 << 20
 
 @dataclass(frozen=True)
 class LanguagePolicy:
-    """Bounds of the labelled sample, and the kernel.
+    """Bounds of the labelled sample, the kernel, and what counts as a known language.
 
     At most per_language texts of each of the max_languages most frequent languages, of at most
-    max_chars code points each, are fitted. Scoring has no bounds.
+    max_chars code points each, are fitted. Scoring has no bounds. A text is known if its likeness to the
+    predicted language is at least likeness_share times that of the least alike hundredth of the
+    fitted texts.
     """
 
     per_language: int = 600
@@ -32,15 +34,25 @@ class LanguagePolicy:
     buckets: int = 1 << 15
     ridge: float = 1e-3
     min_score: float = 0.2
+    window: int = 4096
+    likeness_share: float = 0.6
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages in order, and the kernel expansion as one weight per n-gram bucket and language."""
+    """Languages in order, and the kernel expansion as one weight per n-gram bucket and language.
+
+    shares is the share of a language's landmarks that hold a bucket, attainable the largest sum of
+    shares that a number of buckets can have, least the likeness below which a text is unlike the language.
+    """
 
     languages: list[str]
     weights: np.ndarray
     longest: int
+    window: int
+    shares: np.ndarray
+    attainable: np.ndarray
+    least: np.ndarray
 
 
 @cache
@@ -86,6 +98,40 @@ def presence(texts: Sequence[str | None], buckets: int, longest: int) -> tuple[n
     return rows, has
 
 
+def likeness(codes: np.ndarray, shares: np.ndarray, attainable: np.ndarray, longest: int, window: int) -> np.ndarray:
+    """Kernel mass of a text with each language's landmarks, as a share of the largest that as many n-grams can have.
+
+    The mean over windows of the whole text, so that it doesn't depend on length. Zero if there is no letter.
+    """
+    parts = max(1, round(len(codes) / window))
+    bounds = np.linspace(0, len(codes), parts + 1).astype(int)
+    total = np.zeros(shares.shape[1])
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        row = np.zeros(len(shares), np.uint8)
+        mark_ngrams(codes[start:end], row, longest)
+        held = np.flatnonzero(row)
+        total += shares[held].sum(0) / np.maximum(attainable[len(held)], 1e-9)
+    return total / parts
+
+
+def _least_likeness(
+    by_language: list[list[int]], texts: Sequence[str], landmarks: set[int], shares: np.ndarray, policy: LanguagePolicy
+) -> tuple[np.ndarray, np.ndarray]:
+    """The attainable sums of shares, and the least likeness by language, from fitted texts that aren't landmarks.
+
+    A language without such texts has the least likeness of the others, or 0 if there are none.
+    """
+    attainable = np.vstack([np.zeros(shares.shape[1]), np.cumsum(-np.sort(-shares.astype(np.float64), axis=0), axis=0)])
+    least = np.full(len(by_language), np.nan)
+    for k, group in enumerate(by_language):
+        others = [
+            likeness(letters_of(texts[i]), shares[:, [k]], attainable[:, [k]], policy.longest, policy.window)[0] for i in group if i not in landmarks
+        ]
+        if others:
+            least[k] = policy.likeness_share * np.quantile(others, 0.01)
+    return attainable, np.where(np.isnan(least), 0.0 if np.isnan(least).all() else np.nanmin(least), least)
+
+
 def train_language(texts: Sequence[str], langs: Sequence[str], policy: LanguagePolicy = LanguagePolicy()) -> LanguageModel | None:
     """One-versus-rest kernel ridge regression on Nyström features.
 
@@ -98,7 +144,10 @@ def train_language(texts: Sequence[str], langs: Sequence[str], policy: LanguageP
         return None
     by_language = [[i for i, lang in enumerate(langs) if lang == name] for name in languages]
     turns = [i for group in zip(*(g + [-1] * (max(map(len, by_language)) - len(g)) for g in by_language)) for i in group if i >= 0]
-    landmarks, _ = presence([texts[i] for i in turns[: policy.landmarks]], policy.buckets, policy.longest)
+    chosen = turns[: policy.landmarks]
+    landmarks, _ = presence([texts[i] for i in chosen], policy.buckets, policy.longest)
+    of_language = np.array([langs[i] for i in chosen])
+    shares = np.stack([(landmarks[of_language == name] > 0).mean(0, dtype=np.float32) for name in languages], axis=1)
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -110,7 +159,9 @@ def train_language(texts: Sequence[str], langs: Sequence[str], policy: LanguageP
         gram += features.T @ features
         moment += features.T @ target
     solved = np.linalg.solve(gram + policy.ridge * len(texts) * np.eye(len(gram)), moment)
-    return LanguageModel(languages, landmarks.T @ (root @ solved).astype(np.float32), policy.longest)
+    attainable, least = _least_likeness(by_language, texts, set(chosen), shares, policy)
+    weights = landmarks.T @ (root @ solved).astype(np.float32)
+    return LanguageModel(languages, weights, policy.longest, policy.window, shares, attainable, least)
 
 
 def language_sample(docs: DataFrame, policy: LanguagePolicy) -> tuple[list[str], list[str]]:
@@ -146,13 +197,15 @@ def language_sample(docs: DataFrame, policy: LanguagePolicy) -> tuple[list[str],
 
 
 def identify_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """`docs` (doc_id, text and any other columns) with _language: struct<lang_pred, score>.
+    """`docs` (doc_id, text and any other columns) with _language: struct<lang_pred, score, known>.
 
-    `und` with score 0 if the text is null or has no letter, or without a model. Whole texts count.
+    `und` with score 0 if the text is null or has no letter, or without a model. It is known if the text
+    is like the language predicted. Whole texts count.
     """
-    kind = "lang_pred string, score double"
+    kind = "lang_pred string, score double, known boolean"
     if model is None:
-        return docs.withColumn("_language", F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")))
+        nothing = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("known"))
+        return docs.withColumn("_language", nothing)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(kind)
@@ -162,12 +215,17 @@ def identify_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame
         for texts in batches:
             out = []
             for start in range(0, len(texts), 64):
-                rows, has = presence(texts.iloc[start : start + 64].tolist(), len(m.weights), m.longest)
+                some = texts.iloc[start : start + 64].tolist()
+                rows, has = presence(some, len(m.weights), m.longest)
                 values = rows @ m.weights
                 best = np.where(has, values.argmax(1), len(m.languages))
                 score = np.where(has, np.clip((values.max(1).astype(np.float64) + 1) / 2, 0.0, 1.0), 0.0)
-                out.append(pd.DataFrame({"lang_pred": names[best], "score": score}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": []})
+                known = np.zeros(len(some), bool)
+                for i in np.flatnonzero(has):
+                    k = [best[i]]
+                    known[i] = likeness(letters_of(some[i]), m.shares[:, k], m.attainable[:, k], m.longest, m.window)[0] >= m.least[best[i]]
+                out.append(pd.DataFrame({"lang_pred": names[best], "score": score, "known": known}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": [], "known": []})
 
     return docs.withColumn("_language", identify(F.col("text")))
 

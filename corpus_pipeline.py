@@ -23,10 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model knows: not `und`, and not less sure than the policy's score."""
+    """Documents in a language the model knows: not `und`, like that language, and not less sure than the policy's score."""
     policy = language.LanguagePolicy()
     found = language.identify_language(docs, language.fitted(docs, policy))
-    known = (F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= policy.min_score)
+    known = (F.col("_language.lang_pred") != "und") & F.col("_language.known") & (F.col("_language.score") >= policy.min_score)
     return found.where(known).select(*docs.columns)
 
 

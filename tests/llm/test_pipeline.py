@@ -1,5 +1,7 @@
 """The stages one by one against brute force, and as a whole."""
 
+import random
+
 import corpus_pipeline
 from clickloom.llm import mixing, toxicity
 from clickloom.llm.common import table
@@ -33,6 +35,21 @@ def test_toxic_documents_go(spark):
     assert kept == expected
 
 
+def test_unlike_texts_go(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rng = random.Random(3)
+    # A script that isn't learned, letter noise, and a long text of each.
+    unlike = [
+        (-i - 1, " ".join("".join(chr(rng.randrange(*letters)) for _ in range(rng.randint(2, 8))) for _ in range(n)), None, "a", n)
+        for i, (letters, n) in enumerate((a, n) for a in ((0x430, 0x450), (0x3041, 0x3097), (97, 123)) for n in (10, 200, 20_000))
+    ]
+    mixed = docs.unionByName(spark.createDataFrame(unlike, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, mixed, "").select("doc_id").collect()}
+    assert not {i for i in kept if i < 0}
+    clean = {r.doc_id for r in docs.where("text rlike '[A-Za-z]' and lang is not null").select("doc_id").collect()}
+    assert len(clean - kept) <= 0.002 * len(clean)
+
+
 def test_run(spark):
     pieces = corpus_pipeline.run(spark, SF)
     total = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.count(F.lit(1)), F.sum("n")).first()
