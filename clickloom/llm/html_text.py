@@ -34,6 +34,7 @@ IMPLIED = {
     "tbody": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
     "tfoot": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
 }
+_TABLE_PARTS = frozenset("table thead tbody tfoot".split())
 _SCOPE = frozenset("table td th caption button object".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
@@ -97,6 +98,10 @@ def build_tree(source: str) -> Node:
             close(frozenset(["p"]), _SCOPE)
         if name in IMPLIED:
             close(*IMPLIED[name])
+        if name in ("td", "th") and stack[-1].name in _TABLE_PARTS:
+            row = Node("tr")
+            stack[-1].children.append(row)
+            stack.append(row)
         attributes = _attributes(match[3])
         hidden = (
             name in HIDDEN
@@ -112,6 +117,8 @@ def build_tree(source: str) -> Node:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
             node.children.append(source[at : end.start() if end else len(source)])
             at = end.end() if end else len(source)
+        elif name == "form" and (stack[-1].name == "tr" or stack[-1].name in _TABLE_PARTS):
+            continue  # a form around rows or cells holds nothing
         elif name not in VOID:
             stack.append(node)
             if len(stack) > 500:  # nesting as deep as this adds no layout
@@ -171,13 +178,22 @@ def _rows(table: Node) -> Iterator[Node]:
                 yield from _rows(child)
 
 
+def _outside_rows(table: Node) -> Iterator[Node | str]:
+    """What a table and its sections hold besides rows."""
+    for child in table.children:
+        if isinstance(child, str):
+            if child.strip():
+                yield child
+        elif not child.hidden:
+            if child.name in ("thead", "tbody", "tfoot", "colgroup"):
+                yield from _outside_rows(child)
+            elif child.name != "tr" or table.name == "colgroup":
+                yield child
+
+
 def _table(node: Node, out: _Lines) -> None:
-    """Cells of a row share lines, each column as wide as its widest cell."""
-    for child in node.children:
-        if isinstance(child, Node) and not child.hidden and child.name not in ("tr", "thead", "tbody", "tfoot", "colgroup"):
-            out.block(_render([child]))
-        elif isinstance(child, str) and child.strip():
-            out.text(html.unescape(child), False)
+    """Cells of a row share lines, each column as wide as its widest cell. What is outside of rows comes before."""
+    _render(list(_outside_rows(node)), out)
     out.end()
     grid = [[_render(c.children) for c in row.children if isinstance(c, Node) and c.name in ("td", "th") and not c.hidden] for row in _rows(node)]
     for row in _rows(node):

@@ -60,6 +60,22 @@ def test_html_layout():
     )
 
 
+@pytest.mark.parametrize(
+    "source, lines",
+    [
+        ("<table><tbody><td>a<td>b</table>", ["a  b"]),
+        ("<table><thead><th>A<th>Long</thead><tr><td>1<td>2</table>", ["A  Long", "1  2"]),
+        ("<table><td>a<td>b<tr><td>c<td>d</table>", ["a  b", "c  d"]),
+        ("<table><tbody>loose<p>par</p><tr><td>a<td>b</tbody></table>", ["loose", "", "par", "", "a  b"]),
+        ("<table><tbody><form><tr><td>a<td>b</tr><tr><td>c<td>d</tr></form></tbody></table>z", ["a  b", "c  d", "", "z"]),
+        ("<table><tr><form><td>a<td>b</form></table>", ["a  b"]),
+        ("<table><tr><td><table><tbody><td>in</table><td>b</table>", ["in  b"]),
+    ],
+)
+def test_html_tables_without_rows(source, lines):
+    assert html_text.page_text(source).split("\n") == lines
+
+
 @pytest.mark.parametrize("source", [None, "", "plain", "<", "<p", "</p>", "<li>a<li>b", "<table><td>x</table>", "<div>" * 3000 + "deep", "a" * 300_000, "<b><i>x</b>y</i>", "<script>never closed"])
 def test_html_accepts_anything(source):
     text = html_text.page_text(source)
