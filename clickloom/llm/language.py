@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from clickloom.llm.common import doc_crc
 
 _CHUNK = 1 << 20
+#: Dense rows in memory at once.
+_ROWS = 32
+#: Texts fitted at once as byte rows, and buckets widened at once.
+_FITTED = 256
+_BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -29,9 +34,9 @@ class LanguagePolicy:
     per_language: int = 600
     max_languages: int = 64
     max_chars: int = 20_000
-    landmarks: int = 256
+    landmarks: int = 320
     longest: int = 4
-    buckets: int = 1 << 15
+    buckets: int = 1 << 16
     ridge: float = 1e-3
     min_score: float = 0.2
     window: int = 4096
@@ -98,6 +103,29 @@ def presence(texts: Sequence[str | None], buckets: int, longest: int) -> tuple[n
     return rows, has
 
 
+class _Presence:
+    """Presence rows of texts, a byte a bucket; they are widened a block of buckets at a time."""
+
+    def __init__(self, texts: Sequence[str], buckets: int, longest: int):
+        self.held = np.zeros((len(texts), buckets), np.uint8)
+        for row, text in zip(self.held, texts):
+            mark_ngrams(letters_of(text), row, longest)
+        self._norm = np.sqrt(np.maximum(self.held.sum(1, dtype=np.int64), 1)).astype(np.float32)
+
+    def kernel(self, other: _Presence) -> np.ndarray:
+        found = np.zeros((len(self.held), len(other.held)), np.float32)
+        for start in range(0, self.held.shape[1], _BLOCK):
+            part = slice(start, start + _BLOCK)
+            found += self.held[:, part].astype(np.float32) @ other.held[:, part].astype(np.float32).T
+        return found / self._norm[:, None] / other._norm
+
+    def weights(self, expansion: np.ndarray) -> np.ndarray:
+        """One weight per bucket and column of the expansion over these rows."""
+        scaled = (expansion / self._norm[:, None]).astype(np.float32)
+        blocks = range(0, self.held.shape[1], _BLOCK)
+        return np.vstack([self.held[:, start : start + _BLOCK].T.astype(np.float32) @ scaled for start in blocks])
+
+
 def likeness(codes: np.ndarray, shares: np.ndarray, attainable: np.ndarray, longest: int, window: int) -> np.ndarray:
     """Kernel mass of a text with each language's landmarks, as a share of the largest that as many n-grams can have.
 
@@ -145,22 +173,22 @@ def train_language(texts: Sequence[str], langs: Sequence[str], policy: LanguageP
     by_language = [[i for i, lang in enumerate(langs) if lang == name] for name in languages]
     turns = [i for group in zip(*(g + [-1] * (max(map(len, by_language)) - len(g)) for g in by_language)) for i in group if i >= 0]
     chosen = turns[: policy.landmarks]
-    landmarks, _ = presence([texts[i] for i in chosen], policy.buckets, policy.longest)
+    landmarks = _Presence([texts[i] for i in chosen], policy.buckets, policy.longest)
     of_language = np.array([langs[i] for i in chosen])
-    shares = np.stack([(landmarks[of_language == name] > 0).mean(0, dtype=np.float32) for name in languages], axis=1)
-    values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
+    shares = np.stack([landmarks.held[of_language == name].mean(0, dtype=np.float32) for name in languages], axis=1)
+    values, vectors = np.linalg.eigh(landmarks.kernel(landmarks).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     gram, moment = np.zeros((keep.sum(), keep.sum())), np.zeros((keep.sum(), len(languages)))
-    for start in range(0, len(texts), 64):
-        rows, _ = presence(texts[start : start + 64], policy.buckets, policy.longest)
-        features = (rows @ landmarks.T).astype(np.float64) @ root
-        target = np.where(np.array(langs[start : start + 64])[:, None] == np.array(languages), 1.0, -1.0)
+    for start in range(0, len(texts), _FITTED):
+        rows = _Presence(texts[start : start + _FITTED], policy.buckets, policy.longest)
+        features = rows.kernel(landmarks).astype(np.float64) @ root
+        target = np.where(np.array(langs[start : start + _FITTED])[:, None] == np.array(languages), 1.0, -1.0)
         gram += features.T @ features
         moment += features.T @ target
     solved = np.linalg.solve(gram + policy.ridge * len(texts) * np.eye(len(gram)), moment)
     attainable, least = _least_likeness(by_language, texts, set(chosen), shares, policy)
-    weights = landmarks.T @ (root @ solved).astype(np.float32)
+    weights = landmarks.weights(root @ solved)
     return LanguageModel(languages, weights, policy.longest, policy.window, shares, attainable, least)
 
 
@@ -214,8 +242,8 @@ def identify_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame
         names = np.array([*m.languages, "und"], dtype=object)
         for texts in batches:
             out = []
-            for start in range(0, len(texts), 64):
-                some = texts.iloc[start : start + 64].tolist()
+            for start in range(0, len(texts), _ROWS):
+                some = texts.iloc[start : start + _ROWS].tolist()
                 rows, has = presence(some, len(m.weights), m.longest)
                 values = rows @ m.weights
                 best = np.where(has, values.argmax(1), len(m.languages))

@@ -340,6 +340,20 @@ def test_presence_kernel_is_the_share_of_common_ngrams():
     assert abs(rows[0] @ rows[1] - len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))) < 0.02
 
 
+def test_language_of_very_long_texts():
+    rng = random.Random(5)
+    stems = {name: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(4000)] for name, letters in (("a", "abcdefghijklm"), ("b", "hijklmnopqrst"))}
+    texts, langs = zip(*((" ".join(rng.choices(stems[n], k=300)), n) for _ in range(60) for n in "ab"))
+    policy = language.LanguagePolicy()
+    assert (policy.landmarks, policy.buckets) == (320, 1 << 16)
+    model = language.train_language(texts, langs, policy)
+    landmarks = language._Presence(texts, policy.buckets, policy.longest)
+    rows, _ = language.presence(texts, policy.buckets, policy.longest)
+    assert np.allclose(landmarks.kernel(landmarks), rows @ rows.T, atol=1e-5) and model.weights.shape == (1 << 16, 2)
+    long, _ = language.presence([" ".join(rng.choices(stems[n], k=60_000)) for n in "abab"], policy.buckets, policy.longest)
+    assert [model.languages[i] for i in (long @ model.weights).argmax(1)] == list("abab")
+
+
 # 8 mixing
 
 
