@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 # Fixed values of the HTML standard: element categories and implied end tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist select".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist".split())
+#: Elements of drawings and formulas, and those of their parts that aren't shown where they stand.
+FOREIGN = frozenset(["svg", "math"])
+UNDRAWN = frozenset("title desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary "
@@ -38,6 +42,8 @@ _TABLE_PARTS = frozenset("table thead tbody tfoot".split())
 _SCOPE = frozenset("table td th caption button object".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+#: How deep the tree may be; what is deeper stands in the element at this depth.
+_DEPTH = 500
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -59,14 +65,37 @@ def build_tree(source: str) -> Node:
     """The element tree of a page; unclosed, misnested and unopened tags are accepted."""
     root = Node("html")
     stack, at = [root], 0
+    count = Counter(["html"])
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        count[node.name] += 1
+
+    def cut(depth: int) -> None:
+        gone = [n.name for n in stack[depth:]]
+        count.subtract(gone)
+        del stack[depth:]
+        if depth >= _DEPTH and not BLOCK.isdisjoint(gone):
+            stack[-1].children.append(Node("div"))  # ends the line
+
+    def place(node: Node) -> None:
+        """Put a node into the innermost element; one that is too deep shares its children, or if hidden leaves the tree."""
+        if len(stack) < _DEPTH or node.name in VOID:
+            stack[-1].children.append(node)
+        elif not node.hidden:
+            if node.name in BLOCK:
+                stack[-1].children.append(Node("div"))
+            node.children = stack[-1].children
 
     def close(names: frozenset[str], stops: frozenset[str]) -> None:
+        if not any(count[n] for n in names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].name in stops:
                 return
             if stack[depth].name in names:
-                del stack[depth:]
-                if not names & frozenset(n.name for n in stack[1:]) - {"p"}:
+                cut(depth)
+                if not any(count[n] for n in names if n != "p"):
                     return
 
     for match in _TAG.finditer(source):
@@ -79,32 +108,32 @@ def build_tree(source: str) -> Node:
             continue
         name = match[2].lower()
         if match[1]:
-            if name == "p" and not any(n.name == "p" for n in stack):
+            if name == "p" and not count["p"]:
                 stack[-1].children.append(Node("p"))
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if count[name] else ():
                 if stack[depth].name == name:
-                    del stack[depth:]
+                    cut(depth)
                     break
                 if stack[depth].name in _SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot"):
                     break
             continue
-        if name in ("html", "body") and any(n.name == name for n in stack):
+        if name in ("html", "body") and count[name]:
             continue
-        if name == "body" or name in BLOCK and any(n.name == "head" for n in stack):
-            depth = next((i for i, n in enumerate(stack) if n.name == "head"), None)
-            if depth:
-                del stack[depth:]
+        if count["head"] and (name == "body" or name in BLOCK):
+            cut(next(i for i, n in enumerate(stack) if n.name == "head"))
         if name in CLOSES_P:
             close(frozenset(["p"]), _SCOPE)
         if name in IMPLIED:
             close(*IMPLIED[name])
         if name in ("td", "th") and stack[-1].name in _TABLE_PARTS:
             row = Node("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
+            place(row)
+            push(row)
         attributes = _attributes(match[3])
+        foreign = name in FOREIGN or count["svg"] > 0 or count["math"] > 0
         hidden = (
             name in HIDDEN
+            or name in UNDRAWN and foreign
             or "hidden" in attributes
             or name == "dialog" and "open" not in attributes
             or name == "input" and attributes.get("type", "").lower() == "hidden"
@@ -112,7 +141,9 @@ def build_tree(source: str) -> Node:
         )
         start = attributes.get("start", "1")
         node = Node(name, hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
-        stack[-1].children.append(node)
+        place(node)
+        if foreign and match[3].endswith("/"):
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
             node.children.append(source[at : end.start() if end else len(source)])
@@ -120,9 +151,7 @@ def build_tree(source: str) -> Node:
         elif name == "form" and (stack[-1].name == "tr" or stack[-1].name in _TABLE_PARTS):
             continue  # a form around rows or cells holds nothing
         elif name not in VOID:
-            stack.append(node)
-            if len(stack) > 500:  # nesting as deep as this adds no layout
-                stack.pop()
+            push(node)
     if at < len(source):
         stack[-1].children.append(source[at:])
     return root
@@ -248,7 +277,11 @@ def _render(children: list, out: _Lines | None = None, keep: bool = False) -> li
             out.gap()
             out.block(_render(child.children), "> ", "> ")
             out.gap()
-        elif name in BLOCK or name in ("textarea",):
+        elif name == "mfrac":
+            for i, part in enumerate(c for c in child.children if isinstance(c, Node)):
+                out.text("/" if i else "", False)
+                _render([part], out, keep)
+        elif name in BLOCK or name in ("textarea", "text"):
             out.gap() if name in SPACED else out.end()
             _render(child.children, out, keep or name in ("pre", "textarea"))
             out.gap() if name in SPACED else out.end()

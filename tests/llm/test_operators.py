@@ -76,6 +76,25 @@ def test_html_tables_without_rows(source, lines):
     assert html_text.page_text(source).split("\n") == lines
 
 
+@pytest.mark.parametrize(
+    "source, words_",
+    [
+        ("Pick <select><option>One<option selected>Two</select> now", "Pick One Two now"),
+        ("<svg><title>no</title><defs><text>no</text></defs><path d='m'/><text x=1>North</text><text>South</text></svg>", "North South"),
+        ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>no</annotation></semantics></math> ok", "so x=1/2 ok"),
+        ("<div>" * 600 + "<div style='display:none'>no<div>no</div>no</div><template>no</template>yes" + "</div>" * 600 + "end", "yes end"),
+        ("<div>" * 600 + "<b>a</b>b<div>c</div>d", "ab c d"),
+        ("<div>" * 600 + "<noscript>no</noscript><script>no</script><table><td>x<td>y</table>", "x y"),
+    ],
+)
+def test_html_foreign_and_deep(source, words_):
+    assert html_text.page_text(source).split() == words_.split()
+
+
+def test_html_nesting_is_linear():
+    assert html_text.page_text("<div><b>" * 30_000 + "<p>deep</i></p>" * 2000).split() == ["deep"] * 2000
+
+
 @pytest.mark.parametrize("source", [None, "", "plain", "<", "<p", "</p>", "<li>a<li>b", "<table><td>x</table>", "<div>" * 3000 + "deep", "a" * 300_000, "<b><i>x</b>y</i>", "<script>never closed"])
 def test_html_accepts_anything(source):
     text = html_text.page_text(source)
