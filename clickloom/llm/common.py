@@ -49,3 +49,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def doc_crc(doc_id: Column) -> Column:
     """crc32 of the id written as decimal text, which fixes the held-out folds."""
     return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def spread(text: Column, limit: int, parts: int = 8) -> Column:
+    """A text of at most `limit` code points: a longer one as evenly spread windows of the whole text."""
+    width = limit // parts - 1
+    step = (F.length(text) - width) / (parts - 1)
+    windows = [F.substring(text, F.floor(step * i).cast("int") + 1, F.lit(width)) for i in range(parts)]
+    return F.when(F.length(text) > limit, F.concat_ws(" ", *windows)).otherwise(text)

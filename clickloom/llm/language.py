@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import doc_crc
+from clickloom.llm.common import doc_crc, spread
 
 _CHUNK = 1 << 20
 #: Dense rows in memory at once.
@@ -25,8 +25,8 @@ _BLOCK = 4096
 class LanguagePolicy:
     """Bounds of the labelled sample, the kernel, and what counts as a known language.
 
-    At most per_language texts of each of the max_languages most frequent languages, of at most
-    max_chars code points each, are fitted. Scoring has no bounds. A text is known if its likeness to the
+    At most per_language texts of each of the max_languages most frequent languages are fitted, longer
+    ones than max_chars code points by windows spread over the whole text. Scoring has no bounds. A text is known if its likeness to the
     predicted language is at least likeness_share times that of the least alike hundredth of the
     fitted texts.
     """
@@ -211,8 +211,8 @@ def language_sample(docs: DataFrame, policy: LanguagePolicy) -> tuple[list[str],
         return [], []
     sample = F.broadcast(spark.createDataFrame(ids, "doc_id long, _lang string"))
     rows = (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .where(F.length("text") <= policy.max_chars)
+        docs.select(F.col("doc_id").cast("long"), spread(F.col("text"), policy.max_chars).alias("text"))
+        .where(F.col("text").isNotNull())
         .join(sample, "doc_id")
         .select("doc_id", "text", "_lang")
         .toPandas()

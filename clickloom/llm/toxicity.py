@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -13,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import doc_crc
+from clickloom.llm.common import doc_crc, spread
 
 _WORD = re.compile(r"\w+")
 
@@ -22,8 +23,8 @@ _WORD = re.compile(r"\w+")
 class ToxicityPolicy:
     """Bounds of the labelled sample and shape of the dictionaries.
 
-    At most max_toxic and max_ordinary labelled documents of at most max_chars code points are
-    fitted, however large the corpus is. Scoring has no bounds.
+    At most max_toxic and max_ordinary labelled documents are fitted, however large the corpus is,
+    longer ones than max_chars code points by windows spread over the whole text. Scoring has no bounds.
     """
 
     max_toxic: int = 1500
@@ -169,8 +170,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, policy: ToxicityPolicy)
         return [], []
     sample = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
     rows = (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .where(F.length("text") <= policy.max_chars)
+        docs.select(F.col("doc_id").cast("long"), spread(F.col("text"), policy.max_chars).alias("text"))
+        .where(F.col("text").isNotNull())
         .join(sample, "doc_id")
         .select("doc_id", "text", "toxic")
         .toPandas()
@@ -207,8 +208,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, column: str = "
 
 
 def fitted(docs: DataFrame, labels: DataFrame, policy: ToxicityPolicy = ToxicityPolicy()) -> ToxicityModel | None:
-    """The model fitted on the labelled sample of these tables."""
-    return train_toxicity(*labelled_sample(docs, labels, policy), policy)
+    """The model fitted on the labelled sample of these tables; warns if there are labels but too few of a class."""
+    toxic, ordinary = labelled_sample(docs, labels, policy)
+    model = train_toxicity(toxic, ordinary, policy)
+    if model is None and (toxic or ordinary):
+        warnings.warn(f"toxicity can't be fitted on {len(toxic)} toxic and {len(ordinary)} ordinary texts: every score is 0", stacklevel=2)
+    return model
 
 
 def op6_toxicity(docs: DataFrame, labels: DataFrame, policy: ToxicityPolicy = ToxicityPolicy()) -> DataFrame:

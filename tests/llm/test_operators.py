@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from clickloom.llm import chat, fingerprints, html_text, language, mixing, near_dedup, neighbours, packing, queries, toxicity, warc
-from clickloom.llm.common import saved, shared_dir, table
+from clickloom.llm.common import saved, shared_dir, spread, table
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -359,6 +359,17 @@ def test_presence_kernel_is_the_share_of_common_ngrams():
     assert abs(rows[0] @ rows[1] - len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))) < 0.02
 
 
+def test_long_labelled_texts_are_fitted(spark):
+    long = ["x" * 70_000, "".join(chr(97 + i // 1000 % 26) for i in range(26_000)), "short", None]
+    cut = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(long)], "i int, t string").select("i", spread(F.col("t"), 2000).alias("t")).orderBy("i").collect()]
+    assert [len(t or "") for t in cut] == [1999, 1999, 5, 0] and {"a", "z"} < set(cut[1]) and cut[2:] == ["short", None]
+    rows = [(i, f"{'you total brute' if i % 3 == 0 else 'the quiet garden'} number{i} " * 2000, "en" if i % 2 else "fr", "a", 1) for i in range(90)]
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    assert len(rows[0][1]) > 30_000 and toxicity.fitted(docs, marks) is not None and language.fitted(docs).languages == ["en", "fr"]
+    with pytest.warns(UserWarning, match="can't be fitted"):
+        assert toxicity.fitted(docs, marks.where("toxic = 0")) is None
+
+
 def test_language_of_very_long_texts():
     rng = random.Random(5)
     stems = {name: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(4000)] for name, letters in (("a", "abcdefghijklm"), ("b", "hijklmnopqrst"))}
