@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -17,135 +16,130 @@ from pyspark.sql import functions as F
 from clickloom.llm.common import doc_crc, spread
 
 _WORD = re.compile(r"\w+")
+#: Distances are counted from -1 (or less) to this (or more) bytes.
+_FARTHEST = 6
+#: Summed evidence beyond this doesn't change the score.
+_ENOUGH = 6.0
 
 
 @dataclass(frozen=True)
 class ToxicityPolicy:
-    """Bounds of the labelled sample and shape of the dictionaries.
+    """Bounds of the labelled sample and shape of windows and dictionaries.
 
     At most max_toxic and max_ordinary labelled documents are fitted, however large the corpus is,
-    longer ones than max_chars code points by windows spread over the whole text. Scoring has no bounds.
+    longer ones than max_chars code points by windows spread over the whole text. The toxic
+    dictionary has toxic_share of the bytes that it is trained on, within toxic_bytes. Scoring has no bounds.
     """
 
     max_toxic: int = 1500
     max_ordinary: int = 5000
     max_chars: int = 30_000
-    ordinary_bytes: int = 112_000
-    toxic_bytes: int = 8192
-    level: int = 12
-    min_share: float = 0.009
-    min_ratio: float = 20.0
-    ridge: float = 1e-3
+    window_words: int = 24
+    ordinary_bytes: int = 4_000_000
+    toxic_share: float = 0.02
+    toxic_bytes: tuple[int, int] = (4096, 32_768)
+    level: int = 7
     threshold: float = 0.7
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Dictionary contents, feature scaling and logistic weights (the intercept last)."""
+    """Dictionaries, evidence by window distance, and the line that makes a score of summed evidence."""
 
     ordinary: bytes
     toxic: bytes
     level: int
-    center: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    window_words: int
+    evidence: np.ndarray
+    slope: float
+    intercept: float
 
+    def score(self, counts: np.ndarray) -> np.ndarray:
+        """Scores of texts by their windows at each distance."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * bounded(counts, self.evidence) + self.intercept, -30, 30)))
 
-def words_of(text: str | None) -> set[str]:
-    """The distinct windows of a text: its words in lower case."""
-    return set(_WORD.findall(text.lower())) if isinstance(text, str) else set()
+
+def bounded(counts: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """Summed evidence within -_ENOUGH and _ENOUGH, so that wrongly labelled long texts don't bend the curve."""
+    return np.clip(counts @ evidence, -_ENOUGH, _ENOUGH)
+
+
+def windows_of(text: str | None, size: int) -> list[bytes]:
+    """The whole text in windows of `size` successive words in lower case; none for null or without words."""
+    words = _WORD.findall(text.lower()) if isinstance(text, str) else []
+    return [f" {' '.join(words[i : i + size])} ".encode("utf-8", "replace") for i in range(0, len(words), size)]
 
 
 class WindowDistance:
-    """How many bytes shorter a window compresses with the toxic dictionary than with the ordinary one.
+    """How many bytes shorter a window compresses where the toxic dictionary stands before the ordinary one.
 
-    A window is one word, written three times so that frame overhead doesn't hide a match. The
-    toxic dictionary is the ordinary one with toxic material before it, so ordinary windows cost the
-    same in both. Distances of words seen before are kept in a cache of bounded size.
+    Ordinary words have the same matches in both cases, so distances aren't blurred by which of them
+    happen to be in one dictionary only.
     """
 
-    def __init__(self, ordinary: bytes, toxic: bytes, level: int, cache: int = 1_000_000):
-        self._ordinary, self._toxic = self._compressor(ordinary, level), self._compressor(toxic, level)
-        self._seen: dict[str, int] = {}
-        self._cache = cache
+    def __init__(self, ordinary: bytes, toxic: bytes, level: int):
+        self._ordinary, self._toxic = self._compressor(ordinary, level), self._compressor(toxic + ordinary, level)
 
     @staticmethod
     def _compressor(content: bytes, level: int):
         dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         settings = zstandard.ZstdCompressionParameters.from_level(
-            level, source_size=64, dict_size=len(content), min_match=4, write_content_size=0, write_dict_id=0, write_checksum=0
+            level, source_size=512, dict_size=len(content), min_match=4, write_content_size=0, write_dict_id=0, write_checksum=0
         )
         dictionary.precompute_compress(compression_params=settings)
         return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings).compress
 
-    def of(self, word: str) -> int:
-        found = self._seen.get(word)
-        if found is None:
-            window = f" {word} {word} {word} ".encode("utf-8", "replace")
-            found = len(self._ordinary(window)) - len(self._toxic(window))
-            if len(self._seen) >= self._cache:
-                self._seen.clear()
-            self._seen[word] = found
-        return found
-
-    def features(self, text: str | None) -> list[float]:
-        """Counts of distinct windows at each distance, plain and by share of the text."""
-        words = words_of(text)
-        distances = np.fromiter((d for d in map(self.of, words) if d), np.int32)
-        counts = [int((distances >= k).sum()) for k in (1, 2, 3, 4)] + [int((distances <= -2).sum())]
-        n = max(1, len(words))
-        return [*np.log1p(counts), *np.sqrt(np.array(counts[1:]) / n), np.log(n)]
-
-
-def _trained(samples: Sequence[bytes], size: int, **options) -> bytes:
-    """A trained dictionary; of too few samples, their concatenation."""
+    def counts(self, text: str | None, size: int) -> np.ndarray:
+        """Windows of a text at each distance from -1 to _FARTHEST."""
+        found = [len(self._ordinary(w)) - len(self._toxic(w)) for w in windows_of(text, size)]
+        return np.bincount(np.clip(np.array(found, np.int64), -1, _FARTHEST) + 1, minlength=_FARTHEST + 2)
+
+
+def _trained(samples: Sequence[bytes], size: int) -> bytes:
+    """A dictionary trained on whole samples, cut where they are long; of too few, the end of what they hold."""
+    parts = [s[i : i + 2000] for s in samples for i in range(0, len(s), 2000)]
     try:
-        return zstandard.train_dictionary(size, list(samples), **options).as_bytes()
-    except zstandard.ZstdError:
+        return zstandard.train_dictionary(size, [p for p in parts if len(p) > 50], k=16, d=6, split_point=1.0).as_bytes()
+    except (zstandard.ZstdError, ValueError):
         return b"".join(samples)[-size:] or b" "
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last weight is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge * len(x))
-    penalty[-1] = 1e-9
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
-        w += step
+def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope (not below 0) and intercept of the logistic curve through one feature, by Newton's method."""
+    scale = np.abs(x).max() + 1e-9
+    both, w, penalty = np.stack([x / scale, np.ones(len(x))], axis=1), np.zeros(2), np.array([1e-2, 1e-6])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(both @ w, -30, 30)))
+        step = np.linalg.solve((both * (p * (1 - p))[:, None]).T @ both + np.diag(penalty), both.T @ (y - p) - penalty * w)
+        w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return max(0.0, float(w[0] / scale)), float(w[1])
 
 
 def train_toxicity(toxic: Sequence[str], ordinary: Sequence[str], policy: ToxicityPolicy = ToxicityPolicy()) -> ToxicityModel | None:
     """Fit on labelled texts; None if a class has fewer than two texts.
 
-    The first half of each class trains the dictionaries, the second half calibrates. The ordinary
-    dictionary is trained on whole ordinary texts. The toxic one adds a dictionary trained on toxic
-    texts, one sample each, reduced to words that many more toxic than ordinary texts hold.
+    The first half of the toxic and two thirds of the ordinary texts, whole, make the dictionaries:
+    the ordinary one is their content itself (a few MB), so that even rare ordinary words are in it;
+    the toxic one is trained, so that it holds what toxic texts repeat. The other texts calibrate:
+    a distance counts as evidence by the log ratio of how often toxic and ordinary texts' windows
+    have it, and a logistic curve makes the score of a text's summed evidence.
     """
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if len(toxic) < 2 or len(ordinary) < 2:
         return None
-    h, g = (len(toxic) + 1) // 2, (2 * len(ordinary) + 2) // 3
-    base = _trained([t.lower().encode() for t in ordinary[: g // 2 + 1]], policy.ordinary_bytes)
-    in_toxic = Counter(w for t in toxic[:h] for w in words_of(t))
-    least = max(2, policy.min_share * h)
-    in_toxic = {w: c for w, c in in_toxic.items() if c >= least}
-    in_ordinary = Counter(w for t in ordinary[:g] for w in words_of(t) & in_toxic.keys())
-    marked = {w for w, c in in_toxic.items() if c / h > policy.min_ratio * (in_ordinary[w] + 0.5) / (g + 0.5)}
-    samples = [(" " + " ".join(w for w in _WORD.findall(t.lower()) if w in marked) + " ").encode() for t in toxic[:h]]
-    extra = _trained([s for s in samples if len(s) > 8] or [b" "], policy.toxic_bytes, k=16, d=6, split_point=1.0)
-    distance = WindowDistance(base, extra + base, policy.level, cache=100_000)
-    x = np.array([distance.features(t) for t in toxic[h:] + ordinary[g:]])
+    h, g = (len(toxic) + 1) // 2, min(len(ordinary) - 1, (2 * len(ordinary) + 2) // 3)
+    base = "\n".join(t.lower() for t in ordinary[:g]).encode("utf-8", "replace")[: policy.ordinary_bytes] or b" "
+    samples = [t.lower().encode("utf-8", "replace") for t in toxic[:h]]
+    least, most = policy.toxic_bytes
+    extra = _trained(samples, min(most, max(least, int(policy.toxic_share * sum(map(len, samples))))))
+    distance = WindowDistance(base, extra, policy.level)
+    counts = np.array([distance.counts(t, policy.window_words) for t in toxic[h:] + ordinary[g:]])
     y = np.r_[np.ones(len(toxic) - h), np.zeros(len(ordinary) - g)]
-    if y.all() or not y.any():
-        return None
-    center, scale = x.mean(0), x.std(0) + 1e-9
-    return ToxicityModel(base, extra + base, policy.level, center, scale, _logistic((x - center) / scale, y, policy.ridge))
+    seen = [counts[y == k].sum(0) + 0.5 for k in (1, 0)]
+    evidence = np.log(seen[0] / seen[0].sum()) - np.log(seen[1] / seen[1].sum())
+    return ToxicityModel(base, extra, policy.level, policy.window_words, evidence, *_line(bounded(counts, evidence), y))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, policy: ToxicityPolicy) -> tuple[list[str], list[str]]:
@@ -197,12 +191,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, column: str = "
         m = sent.value
         distance = WindowDistance(m.ordinary, m.toxic, m.level)
         for texts in batches:
-            if not len(texts):
-                yield pd.Series([], dtype="float64")
-                continue
-            x = (np.array([distance.features(t) for t in texts]) - m.center) / m.scale
-            z = x @ m.weights[:-1] + m.weights[-1]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            counts = [distance.counts(t, m.window_words) for t in texts]
+            yield pd.Series(m.score(np.array(counts)) if counts else [], dtype="float64")
 
     return docs.withColumn(column, score(F.col("text")))
 
