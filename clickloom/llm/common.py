@@ -15,26 +15,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the one named by spark.checkpoint.dir.
 
-    It is the one named by spark.checkpoint.dir; only where that is unset (local tests) a
-    temporary folder is made and set as the checkpoint folder.
+    Only where that is unset and the master is local (tests), a temporary folder is made and set as
+    the checkpoint folder; on a cluster an unset folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as Spark's own readers open them."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    jvm_path, file_system = hadoop_path(spark, path)
+    file_system.deleteOnExit(jvm_path)
     return path
 
 
@@ -43,7 +51,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def forget(*stored: DataFrame) -> None:
+    """Remove tables made by saved() that nothing will read again."""
+    for df in stored:
+        path, file_system = hadoop_path(df.sparkSession, df._stored_at)
+        file_system.delete(path, True)
 
 
 def doc_crc(doc_id: Column) -> Column:
