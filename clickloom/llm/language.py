@@ -193,20 +193,19 @@ def train_language(texts: Sequence[str], langs: Sequence[str], policy: LanguageP
 
 
 def language_sample(docs: DataFrame, policy: LanguagePolicy) -> tuple[list[str], list[str]]:
-    """Texts and languages outside the held-out fold; ids are drawn per language by a hash of the id."""
+    """Texts and languages outside the held-out fold; ids are drawn per language by a hash of the id.
+
+    One pass counts languages, one draws the ids (each task keeps no more than per_language of a
+    language), and one reads the texts drawn.
+    """
     spark = docs.sparkSession
     fold = docs.select(F.col("doc_id").cast("long"), "lang").where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.pmod(doc_crc(F.col("doc_id")), F.lit(4)) != 2)
     )
-    frequent = [
-        r.lang for r in fold.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(policy.max_languages).collect()
-    ]
-    order = [F.xxhash64("doc_id", F.lit(11)), F.col("doc_id")]
-    ids = [
-        (r.doc_id, r.lang)
-        for lang in frequent
-        for r in fold.where(F.col("lang") == lang).orderBy(*order).limit(policy.per_language).collect()
-    ]
+    frequent = fold.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(policy.max_languages).select("lang")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))
+    drawn = fold.join(F.broadcast(frequent), "lang", "left_semi").withColumn("_turn", turn).where(F.col("_turn") <= policy.per_language)
+    ids = sorted((r.doc_id, r.lang) for r in drawn.select("doc_id", "lang").collect())
     if not ids:
         return [], []
     sample = F.broadcast(spark.createDataFrame(ids, "doc_id long, _lang string"))
@@ -224,11 +223,12 @@ def language_sample(docs: DataFrame, policy: LanguagePolicy) -> tuple[list[str],
     return rows["text"].tolist(), rows["_lang"].tolist()
 
 
-def identify_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+def identify_language(docs: DataFrame, model: LanguageModel | None, likeness_too: bool = True) -> DataFrame:
     """`docs` (doc_id, text and any other columns) with _language: struct<lang_pred, score, known>.
 
     `und` with score 0 if the text is null or has no letter, or without a model. It is known if the text
-    is like the language predicted. Whole texts count.
+    is like the language predicted, which is not looked at without likeness_too. Whole texts count;
+    of equally likely languages the first by name is predicted.
     """
     kind = "lang_pred string, score double, known boolean"
     if model is None:
@@ -249,7 +249,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame
                 best = np.where(has, values.argmax(1), len(m.languages))
                 score = np.where(has, np.clip((values.max(1).astype(np.float64) + 1) / 2, 0.0, 1.0), 0.0)
                 known = np.zeros(len(some), bool)
-                for i in np.flatnonzero(has):
+                for i in np.flatnonzero(has) if likeness_too else ():
                     k = [best[i]]
                     known[i] = likeness(letters_of(some[i]), m.shares[:, k], m.attainable[:, k], m.longest, m.window)[0] >= m.least[best[i]]
                 out.append(pd.DataFrame({"lang_pred": names[best], "score": score, "known": known}))
@@ -265,7 +265,7 @@ def fitted(docs: DataFrame, policy: LanguagePolicy = LanguagePolicy()) -> Langua
 
 def op7_language(docs: DataFrame, policy: LanguagePolicy = LanguagePolicy()) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
-    found = identify_language(docs.select("doc_id", "text"), fitted(docs, policy))
+    found = identify_language(docs.select("doc_id", "text"), fitted(docs, policy), likeness_too=False)
     return found.select(
         "doc_id",
         F.coalesce(F.pmod(doc_crc(F.col("doc_id")), F.lit(4)) == 2, F.lit(False)).alias("held_out"),
