@@ -33,15 +33,23 @@ class WarcPolicy:
     sample_bytes: int = 4 << 20
     dictionary_bytes: int = 64 << 10
     level: int = 6
+    salts: int = 16
+
+
+def file_system(uri: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system and path of a folder in the workers; s3a and s3n are names of s3."""
+    scheme, mark, rest = uri.partition("://")
+    return arrow_fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else uri)
 
 
 def plan_records(pages: DataFrame, policy: WarcPolicy) -> DataFrame:
-    """page_id, url, html with payload_digest, payload_bytes and refers_to (null: a response).
+    """page_id, url, html with payload_digest, payload_bytes, refers_to (null: a response) and its address.
 
     Of the rows with one payload of at least min_revisit_bytes, those with the largest page_id are
     responses (rows that repeat that id each) and the others revisit it; rows without a page_id are
-    responses. Digests are made where the rows are read and counted by partial aggregation, so only
-    digests meet in the join.
+    responses. Digests are made where the rows are read and counted by partial aggregation. Only
+    repeated payloads' digests meet the rows, in policy.salts copies, so that the rows of a common
+    payload are spread over as many tasks.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(
@@ -54,31 +62,50 @@ def plan_records(pages: DataFrame, policy: WarcPolicy) -> DataFrame:
     largest = (
         rows.where(F.col("payload_bytes") >= policy.min_revisit_bytes)
         .groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_copies"))
+        .agg(F.max("page_id").alias("_largest"), F.max_by("url", "page_id").alias("_address"), F.count(F.lit(1)).alias("_copies"))
         .where("_copies > 1")
         .drop("_copies")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(policy.salts - 1))))
     )
-    joined = rows.join(largest, ["payload_digest", "payload_bytes"], "left")
-    refers = F.when(F.col("page_id") < F.col("_largest"), F.col("_largest"))
-    return joined.withColumn("refers_to", refers).drop("_largest")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(policy.salts)).cast("int"))
+    joined = salted.join(largest, ["payload_digest", "payload_bytes", "_salt"], "left")
+    revisits = F.col("page_id") < F.col("_largest")
+    return (
+        joined.withColumn("refers_to", F.when(revisits, F.col("_largest")))
+        .withColumn("refers_to_url", F.when(revisits, F.col("_address")))
+        .drop("_largest", "_address", "_salt")
+    )
+
 
+def _address(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
 
-def _record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record: the HTTP response, or for a revisit its headers only."""
+
+def _record(record_id: uuid.UUID, page_id, url: str | None, payload: bytes, digest: str, refers_to, refers_to_url: str | None) -> bytes:
+    """One WARC record: the HTTP response, or for a revisit its headers only.
+
+    Record ids are unique even where page ids repeat or are null; page ids are in fields of their own.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    address = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     headers = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{record_id.urn}>",
         f"WARC-Date: {RECORD_DATE}",
-        f"WARC-Target-URI: {address}",
+        f"WARC-Target-URI: {_address(url)}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         "Content-Type: application/http; msgtype=response",
     ]
+    if page_id is not None:
+        headers.append(f"Page-ID: {page_id}")
     if refers_to is not None:
-        headers += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
+        headers += [
+            f"WARC-Refers-To-Target-URI: {_address(refers_to_url)}",
+            f"WARC-Refers-To-Date: {RECORD_DATE}",
+            f"WARC-Profile: {REVISIT_PROFILE}",
+            f"Refers-To-Page-ID: {refers_to}",
+        ]
     return ("\r\n".join([*headers, f"Content-Length: {len(block)}", "", ""])).encode() + block + b"\r\n\r\n"
 
 
@@ -100,7 +127,7 @@ class ArchiveWriter:
     """
 
     def __init__(self, folder: str, policy: WarcPolicy):
-        self._fs, self._folder = arrow_fs.FileSystem.from_uri(folder)
+        self._fs, self._folder = file_system(folder)
         self._policy, self._out, self.done = policy, None, []
 
     def _open(self, sample: list[bytes]) -> None:
@@ -136,9 +163,9 @@ class ArchiveWriter:
         self._close()
 
     def _flush(self, waiting: list[bytes]) -> None:
-        if waiting and self._out is None:
-            self._open(waiting)
-        for record in waiting:
+        for i, record in enumerate(waiting):
+            if self._out is None:
+                self._open(waiting[i:])
             self._put(record)
 
     def _put(self, record: bytes) -> None:
@@ -183,15 +210,15 @@ def write_archives(records: DataFrame, folder: str, policy: WarcPolicy) -> DataF
 
         def each() -> Iterator[bytes]:
             for batch in batches:
-                for page_id, url, html, digest, refers in zip(
-                    batch["page_id"], batch["url"], batch["html"], batch["payload_digest"], batch["refers_to"]
-                ):
+                for page_id, url, html, digest, refers, address in zip(*(batch[c] for c in columns)):
                     yield _record(
+                        uuid.uuid4(),
                         None if pd.isna(page_id) else int(page_id),
                         url,
                         html.encode("utf-8", "surrogatepass"),
                         digest,
                         None if pd.isna(refers) else int(refers),
+                        address,
                     )
 
         writer.write(each())
@@ -207,7 +234,7 @@ def write_archives(records: DataFrame, folder: str, policy: WarcPolicy) -> DataF
         for done in write(exact(batches)):
             yield pa.RecordBatch.from_pandas(done.astype({"records": "int64", "bytes": "int64"}), preserve_index=False)
 
-    columns = ["page_id", "url", "html", "payload_digest", "refers_to"]
+    columns = ["page_id", "url", "html", "payload_digest", "refers_to", "refers_to_url"]
     return records.select(*columns).mapInArrow(task, "archive string, records long, bytes long")
 
 
@@ -218,7 +245,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        folder_fs, _ = arrow_fs.FileSystem.from_uri(folder)
+        folder_fs, _ = file_system(folder)
         names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes"]
         for batch in batches:
             for path in batch["archive"]:
@@ -230,7 +257,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                     length = int(http.decode().rpartition("Content-Length: ")[2])
                     if kind == "response" and (hashlib.sha1(payload).hexdigest() != stated or len(payload) != length):
                         raise ValueError(f"{path} holds a damaged record {headers['warc-record-id']}")
-                    ids = [headers.get(name, "").removeprefix("<urn:page:").removesuffix(">") for name in ("warc-record-id", "warc-refers-to")]
+                    ids = [headers.get(name) for name in ("page-id", "refers-to-page-id")]
                     page_id, refers = (int(x) if x else None for x in ids)
                     rows.append((page_id, headers["warc-target-uri"], kind, refers, stated, length))
                     if len(rows) == 5000:
@@ -253,7 +280,7 @@ def archive_pages(pages: DataFrame, policy: WarcPolicy = WarcPolicy()) -> tuple[
         folder = "file://" + folder
     elif folder.startswith("file:/") and not folder.startswith("file://"):
         folder = "file://" + folder.removeprefix("file:")
-    target, path = arrow_fs.FileSystem.from_uri(folder)
+    target, path = file_system(folder)
     target.create_dir(path)
     return saved(write_archives(plan_records(pages, policy), folder, policy), "archive-list"), folder
 
