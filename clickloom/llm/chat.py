@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks of the template. Each begins with the two characters that texts may not hold unescaped.
 START, END, JOIN = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
-
-_TURNS = "array<struct<role:string,texts:array<string>>>"
+#: Code points of a formatted text that are cut at once when spans are read.
+_PART = 8192
 
 
 def _escape(x: str) -> str:
@@ -37,7 +37,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     Reversible escaping: a backslash in a text becomes \\s and "<|" becomes \\l, so no text can hold
     a mark, and every backslash starts an escape. loss_spans are [start, end) offsets in code points
-    of the texts of assistants, without marks.
+    of the texts of assistants, without marks: a running sum of lengths over a conversation's
+    pieces, which stay where the conversation was collected.
     """
     collected = turns.groupBy("conv_id").agg(
         F.array_sort(
@@ -50,12 +51,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
             )
         ).alias("turns")
     )
+    starts = F.expr(
+        """filter(sequence(0, size(turns) - 1), i -> i = 0 or not (get(turns, i).role <=> get(turns, i - 1).role))"""
+    )
     blocks = F.expr(
-        f"""aggregate(turns, cast(array() as {_TURNS}), (acc, t) ->
-            if(size(acc) > 0 and try_element_at(acc, -1).role <=> t.role,
-               concat(slice(acc, 1, size(acc) - 1),
-                      array(named_struct('role', t.role, 'texts', concat(try_element_at(acc, -1).texts, array(t.text))))),
-               concat(acc, array(named_struct('role', t.role, 'texts', array(t.text))))))"""
+        """transform(starts, (s, k) -> named_struct('role', get(turns, s).role, 'texts',
+            transform(slice(turns, s + 1, coalesce(get(starts, k + 1), size(turns)) - s), t -> t.text)))"""
     )
     # Pieces alternate between what is outside and what is inside the texts.
     pieces = F.expr(
@@ -65,16 +66,22 @@ def format_chats(turns: DataFrame) -> DataFrame:
                 named_struct('piece', {_escape("x")}, 'loss', b.role = 'assistant')))),
             array(named_struct('piece', '<|im_end|>\n', 'loss', false)))))"""
     )
+    spread = (
+        collected.select("conv_id", "turns", starts.alias("starts"))
+        .select("conv_id", blocks.alias("blocks"))
+        .select("conv_id", pieces.alias("pieces"))
+        .select("conv_id", F.posexplode_outer("pieces").alias("_at", "_piece"))
+    )
+    before = Window.partitionBy("conv_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = spread.withColumn("_end", F.sum(F.length("_piece.piece")).over(before).cast("int"))
+    whole = F.array_sort(F.collect_list(F.struct("_at", "_piece.piece", "_piece.loss", "_end"))).alias("_pieces")
     spans = F.expr(
-        """aggregate(pieces, named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int>>)),
-            (acc, p) -> named_struct('at', acc.at + length(p.piece), 'spans',
-                if(p.loss, concat(acc.spans, array(named_struct('start', acc.at, 'end', acc.at + length(p.piece)))), acc.spans)),
-            acc -> acc.spans)"""
+        "transform(filter(_pieces, p -> p.loss), p -> named_struct('start', p._end - length(p.piece), 'end', p._end))"
     )
     return (
-        collected.select("conv_id", blocks.alias("blocks"))
-        .select("conv_id", pieces.alias("pieces"))
-        .select("conv_id", F.expr("array_join(transform(pieces, p -> p.piece), '')").alias("formatted"), spans.alias("loss_spans"))
+        placed.groupBy("conv_id")
+        .agg(whole)
+        .select("conv_id", F.expr("array_join(transform(_pieces, p -> p.piece), '')").alias("formatted"), spans.alias("loss_spans"))
     )
 
 
@@ -87,11 +94,15 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             x -> named_struct('role', {_unescape_role(f"substring(b, {len(START) + 1}, locate('\n', b) - {len(START) + 1})")},
                               'text', {_unescape("x")}))))"""
     )
-    loss = F.expr(
-        f"""array_join(transform(loss_spans, s ->
-            {_unescape("substring(formatted, s.start + 1, s.`end` - s.start)")}), '')"""
+    # Parts of equal length first: a span near the end then isn't counted from the start of a long text.
+    parts = F.expr(f"transform(sequence(0, length(formatted) div {_PART}), i -> substring(formatted, i * {_PART} + 1, {_PART}))")
+    span = f"array_join(slice(_parts, cast(s.start div {_PART} as int) + 1, cast(s.`end` div {_PART} - s.start div {_PART} as int) + 1), '')"
+    inside = f"substring({span}, s.start % {_PART} + 1, s.`end` - s.start)"
+    # The parts are named twice, or the optimizer would make them anew for every span.
+    loss = F.expr(f"if(size(_parts) > 0, array_join(transform(loss_spans, s -> {_unescape(inside)}), ''), '')")
+    return (
+        formatted.withColumn("blocks", blocks).withColumn("turns", turns).withColumn("_parts", parts).withColumn("loss_text", loss).drop("blocks", "_parts")
     )
-    return formatted.withColumn("blocks", blocks).withColumn("turns", turns).withColumn("loss_text", loss).drop("blocks")
 
 
 def op9_chat(conversations: DataFrame) -> DataFrame:
