@@ -40,21 +40,28 @@ IMPLIED = {
 }
 _TABLE_PARTS = frozenset("table thead tbody tfoot".split())
 _SCOPE = frozenset("table td th caption button object".split())
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.DOTALL)
+#: A comment, a declaration, or a tag, which ends with the text if it isn't closed. Nothing is tried twice, so it takes linear time.
+_TAG = re.compile(
+    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z))", re.DOTALL
+)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 #: How deep the tree may be; what is deeper stands in the element at this depth.
 _DEPTH = 500
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    """An element with its children: nodes and strings."""
+    """An element with its children: nodes and strings.
+
+    A hidden one isn't rendered at all; one without `seen` keeps its place, and its own text is left out.
+    """
 
-    __slots__ = ("name", "children", "hidden", "start")
+    __slots__ = ("name", "children", "hidden", "seen", "start", "spans")
 
-    def __init__(self, name: str, hidden: bool = False, start: int = 1):
-        self.name, self.hidden, self.start, self.children = name, hidden, start, []
+    def __init__(self, name: str, hidden: bool = False, start: int = 1, seen: bool = True, spans: tuple[int, int] = (1, 1)):
+        self.name, self.hidden, self.start, self.seen, self.spans, self.children = name, hidden, start, seen, spans, []
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -67,6 +74,10 @@ def build_tree(source: str) -> Node:
     stack, at = [root], 0
     count = Counter(["html"])
 
+    def add(text: str) -> None:
+        if stack[-1].seen:
+            stack[-1].children.append(text)
+
     def push(node: Node) -> None:
         stack.append(node)
         count[node.name] += 1
@@ -102,7 +113,7 @@ def build_tree(source: str) -> Node:
         if match.start() < at:
             continue
         if match.start() > at:
-            stack[-1].children.append(source[at : match.start()])
+            add(source[at : match.start()])
         at = match.end()
         if match[2] is None:
             continue
@@ -126,7 +137,7 @@ def build_tree(source: str) -> Node:
         if name in IMPLIED:
             close(*IMPLIED[name])
         if name in ("td", "th") and stack[-1].name in _TABLE_PARTS:
-            row = Node("tr")
+            row = Node("tr", seen=stack[-1].seen)
             place(row)
             push(row)
         attributes = _attributes(match[3])
@@ -140,20 +151,25 @@ def build_tree(source: str) -> Node:
             or bool(_UNSEEN.search(attributes.get("style", "")))
         )
         start = attributes.get("start", "1")
-        node = Node(name, hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
+        shown = _VISIBILITY.findall(attributes.get("style", ""))
+        spans = tuple(int(n) if re.fullmatch(r"[1-9]\d{0,3}", n) else 1 for n in (attributes.get("colspan", ""), attributes.get("rowspan", "")))
+        node = Node(
+            name, hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, shown[-1].lower() == "visible" if shown else stack[-1].seen, spans
+        )
         place(node)
         if foreign and match[3].endswith("/"):
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
-            node.children.append(source[at : end.start() if end else len(source)])
+            if node.seen:
+                node.children.append(source[at : end.start() if end else len(source)])
             at = end.end() if end else len(source)
         elif name == "form" and (stack[-1].name == "tr" or stack[-1].name in _TABLE_PARTS):
             continue  # a form around rows or cells holds nothing
         elif name not in VOID:
             push(node)
     if at < len(source):
-        stack[-1].children.append(source[at:])
+        add(source[at:])
     return root
 
 
@@ -220,11 +236,38 @@ def _outside_rows(table: Node) -> Iterator[Node | str]:
                 yield child
 
 
+def _grid(table: Node) -> list[list[list[str]]]:
+    """The cells' lines by row and column; what a cell spans besides its first place is empty."""
+    grid: list[list[list[str]]] = []
+    taken: dict[int, int] = {}  # column: how many further rows a cell above reaches into
+    for row in _rows(table):
+        own: list[list[str]] = []
+
+        def skip() -> None:
+            while taken.get(len(own), 0) > 0:
+                taken[len(own)] -= 1
+                own.append([])
+
+        for cell in row.children:
+            if isinstance(cell, Node) and cell.name in ("td", "th") and not cell.hidden:
+                skip()
+                across, down = cell.spans
+                for i in range(min(across, 1000)):
+                    if down > 1:
+                        taken[len(own)] = down - 1
+                    own.append(_render(cell.children) if i == 0 else [])
+        for column in range(len(own), max(taken, default=-1) + 1):
+            if taken.get(column, 0) > 0:
+                taken[column] -= 1
+        grid.append(own)
+    return grid
+
+
 def _table(node: Node, out: _Lines) -> None:
     """Cells of a row share lines, each column as wide as its widest cell. What is outside of rows comes before."""
     _render(list(_outside_rows(node)), out)
     out.end()
-    grid = [[_render(c.children) for c in row.children if isinstance(c, Node) and c.name in ("td", "th") and not c.hidden] for row in _rows(node)]
+    grid = _grid(node)
     for row in _rows(node):
         stray = [c for c in row.children if not (isinstance(c, Node) and c.name in ("td", "th")) and not (isinstance(c, str) and not c.strip())]
         if stray:
