@@ -195,16 +195,20 @@ def train_language(texts: Sequence[str], langs: Sequence[str], policy: LanguageP
 def language_sample(docs: DataFrame, policy: LanguagePolicy) -> tuple[list[str], list[str]]:
     """Texts and languages outside the held-out fold; ids are drawn per language by a hash of the id.
 
-    One pass counts languages, one draws the ids (each task keeps no more than per_language of a
-    language), and one reads the texts drawn.
+    One pass counts languages, one draws the ids, and one reads the texts drawn.
     """
     spark = docs.sparkSession
     fold = docs.select(F.col("doc_id").cast("long"), "lang").where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.pmod(doc_crc(F.col("doc_id")), F.lit(4)) != 2)
     )
-    frequent = fold.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(policy.max_languages).select("lang")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))
-    drawn = fold.join(F.broadcast(frequent), "lang", "left_semi").withColumn("_turn", turn).where(F.col("_turn") <= policy.per_language)
+    frequent = fold.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(policy.max_languages)
+    # Twice as many as wanted pass by the size of the hash, so that a frequent language is no large group.
+    draw, all_draws = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)), 1 << 40
+    few = F.col("_draw") <= F.lit(all_draws) * F.lit(2.0 * policy.per_language + 100) / F.col("_n")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id"))
+    drawn = (
+        fold.withColumn("_draw", draw).join(F.broadcast(frequent), "lang").where(few).withColumn("_turn", turn).where(F.col("_turn") <= policy.per_language)
+    )
     ids = sorted((r.doc_id, r.lang) for r in drawn.select("doc_id", "lang").collect())
     if not ids:
         return [], []
