@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from clickloom.operators import models
 from clickloom.policies import BaselinePolicy, FeaturePolicy, LabelingPolicy, QualityPolicy
 from clickloom.sources import artifacts
-from clickloom.sources.clickstream import first_rows, read_csv, until
+from clickloom.sources.clickstream import first_rows, read_csv, renumbered, until
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -25,6 +25,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser.add_argument("--long-session", type=int, default=100)
     parser.add_argument("--max-sequence-length", type=int, default=50)
     parser.add_argument("--max-samples-per-split", type=int)
+    parser.add_argument("--train-ratio", type=float, default=0.70)
+    parser.add_argument("--validation-ratio", type=float, default=0.15)
     parser.add_argument("--models", nargs="+", default=["logistic_regression", "gbt"], choices=["logistic_regression", "gbt"])
     parser.add_argument("--trees", type=int, default=200)
     given = parser.parse_args(arguments)
@@ -37,7 +39,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         return
     if not given.events:
         parser.error(f"{given.step} needs --events")
-    events = first_rows(until(read_csv(spark, given.events), given.until), given.max_rows)
+    events = renumbered(first_rows(until(read_csv(spark, given.events), given.until), given.max_rows))
     if given.step == "profile":
         artifacts.write_profile(events, given.out)
     elif given.step == "quality":
@@ -47,7 +49,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     elif given.step == "eda":
         artifacts.write_eda(events, given.out, given.window_minutes)
     else:
-        artifacts.write_features(events, given.out, FeaturePolicy(given.window_minutes, max_sequence_length=given.max_sequence_length))
+        artifacts.write_features(events, given.out, FeaturePolicy(given.window_minutes, given.train_ratio, given.validation_ratio, given.max_sequence_length))
 
 
 if __name__ == "__main__":

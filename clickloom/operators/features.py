@@ -152,14 +152,21 @@ def tabular_features(features: DataFrame, extended: bool = False) -> DataFrame:
     return features.select(*TABULAR, *(EXTENDED if extended else ()))
 
 
+def _joined_sequences() -> list[Column]:
+    def joined(field: str) -> Column:
+        return F.array_join(F.transform("_items", lambda x: x[field]), " ")
+
+    return [joined(field).alias(name) for name, field in zip(SEQUENCES, "tpcbg")]
+
+
 def sequence_features(features: DataFrame) -> DataFrame:
     """Five sequences of the last events as space-joined text."""
-    fields = dict(zip(SEQUENCES, "tpcbg"))
+    return features.select("sample_id", *_joined_sequences())
 
-    def joined(field: str) -> Column:
-        return F.array_join(F.transform("_items", lambda x: x[field]), " ")
 
-    return features.select("sample_id", *[joined(field).alias(name) for name, field in fields.items()])
+def sequence_samples(features: DataFrame) -> DataFrame:
+    """The sample index and the sequences of the same samples, without a join."""
+    return features.withColumn("cutoff_time", iso_time(F.col("event_time"))).select(*SAMPLE_INDEX, *_joined_sequences())
 
 
 def user_history(features: DataFrame) -> DataFrame:
@@ -226,7 +233,8 @@ def feature_dictionary(spark) -> DataFrame:
         ("cutoff_time", "time", "datetime", "audit_only"), ("split", "split", "string", "audit_only"), ("label", "target", "integer", "target"),
         ("minutes_until_purchase", "target_diagnostic", "float", "audit_only"),
     ]
-    rows += [(c, "tabular", "string" if c in CATEGORICAL_INPUTS else "float", "tabular_input") for c in TABULAR[1:]]
+    kind = lambda c: "category" if c in CATEGORICAL_INPUTS else "float" if "minutes" in c or "price" in c else "integer"
+    rows += [(c, "tabular", kind(c), "tabular_input") for c in TABULAR[1:]]
     rows += [(c, "sequence", "string_sequence", "sequence_input") for c in SEQUENCES]
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "position int, feature_name string, feature_group string, dtype string, model_role string")
 
@@ -238,9 +246,25 @@ def training_dictionary(dictionary: DataFrame) -> DataFrame:
 
 
 def leakage_checks(features: DataFrame) -> DataFrame:
-    """check, status, violations: no input column is a raw key, and no sample lies at or after a purchase."""
+    """check, status, violations: what an input could know of the sample's future, counted in one pass.
+
+    Raw keys and times are no inputs; sequences hold no more than the prefix; no sample lies at or
+    after a purchase; user history ends before the cutoff; encoders are fitted on a training split
+    that ends before the others begin; every sample has an id, which both kinds of inputs share.
+    """
     inputs = {*TABULAR[1:], *SEQUENCES}
-    static = [(f"raw_{c}_excluded", 0 if c not in inputs else 1) for c in ("user_id", "user_session", "event_time")]
-    fixed = features.sparkSession.createDataFrame(static, "check string, violations long")
-    found = features.agg(F.count_if(F.col("event_time") >= F.col("first_purchase")).alias("violations")).select(F.lit("post_purchase_excluded").alias("check"), "violations")
-    return fixed.unionByName(found).select("check", F.when(F.col("violations") == 0, "pass").otherwise("fail").alias("status"), "violations")
+    fixed = lambda column: F.lit(int(column in inputs)).cast("long")
+    late = F.max(F.when(F.col("split") == "train", F.col("event_time"))) >= F.min(F.when(F.col("split") != "train", F.col("event_time")))
+    found = [
+        ("raw_user_id_excluded", fixed("user_id")),
+        ("raw_user_session_key_only", fixed("user_session")),
+        ("raw_event_time_excluded", fixed("event_time")),
+        ("prefix_scope", F.count_if(F.size("_items") > F.col("prefix_length"))),
+        ("post_purchase_excluded", F.count_if(F.col("event_time") >= F.col("first_purchase"))),
+        ("user_history_scope", F.count_if((F.col("user_minutes_since_last_event") < 0) | (F.col("user_past_session_count") > F.col("user_past_event_count")))),
+        ("transformer_fit_scope", F.coalesce(late.cast("long"), F.lit(0).cast("long"))),
+        ("common_sample_contract", F.count_if(F.col("sample_id").isNull())),
+    ]
+    counted = features.agg(*[count.alias(name) for name, count in found])
+    rows = F.array(*[F.struct(F.lit(name).alias("check"), F.col(name).cast("long").alias("violations")) for name, _ in found])
+    return counted.select(F.inline(rows)).select("check", F.when(F.col("violations") == 0, "pass").otherwise("fail").alias("status"), "violations")

@@ -4,43 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.scalars import ratio
 
 
 def _per_score(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Samples and positives of each distinct score with those above and below; ties are one step."""
-    counted = scored.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
-    falling = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rising = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    """Samples and positives of each distinct score with those above and below; ties are one step.
+
+    Scores are dealt into ranges of 1/1024: sums run within a range, and those of the ranges before
+    are added, so that a split with as many scores as samples isn't one task.
+    """
+    counted = scored.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).withColumn("_range", F.floor(F.col("score") * 1024))
+    before = [*by, "_range"]
+    ranges = counted.groupBy(*before).agg(F.sum("n").alias("_n"), F.sum("p").alias("_p"))
+    higher = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(
+        *[F.col(c).alias(f"_o{c}") for c in before],
+        F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_seen_before"),
+        F.coalesce(F.sum("_p").over(higher), F.lit(0)).alias("_hits_before"),
+        F.coalesce(F.sum(F.col("_n") - F.col("_p")).over(lower), F.lit(0)).alias("_below_before"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in before]
+    falling = Window.partitionBy(*before).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    rising = Window.partitionBy(*before).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        counted.withColumn("_seen", F.sum("n").over(falling))
-        .withColumn("_hits", F.sum("p").over(falling))
-        .withColumn("_below", F.coalesce(F.sum(F.col("n") - F.col("p")).over(rising), F.lit(0)))
+        counted.join(offsets, same)
+        .withColumn("_seen", F.col("_seen_before") + F.sum("n").over(falling))
+        .withColumn("_hits", F.col("_hits_before") + F.sum("p").over(falling))
+        .withColumn("_below", F.col("_below_before") + F.coalesce(F.sum(F.col("n") - F.col("p")).over(rising), F.lit(0)))
+        .select(*by, "score", "n", "p", "_seen", "_hits", "_below")
     )
 
 
+def _pr_auc() -> Column:
+    return F.round(F.try_divide(F.sum(F.col("p") * F.col("_hits") / F.col("_seen")), F.sum("p").cast("double")), 6).alias("pr_auc")
+
+
+def _roc_auc() -> Column:
+    negative = F.col("n") - F.col("p")
+    area = F.sum(F.col("p") * (F.col("_below") + negative / 2.0))
+    return F.round(F.try_divide(area, F.sum("p").cast("double") * F.sum(negative)), 6).alias("roc_auc")
+
+
+def _f1(threshold: float) -> Column:
+    hit = F.col("score") >= threshold
+    true = F.count_if(hit & (F.col("label") == 1))
+    return F.round(ratio(2 * true, F.count_if(hit) + F.count_if(F.col("label") == 1)), 6).alias("f1")
+
+
 def average_precision(scored: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
     """pr_auc as step-wise average precision; null without positives."""
-    return _per_score(scored, by).groupBy(*by).agg(
-        F.round(F.try_divide(F.sum(F.col("p") * F.col("_hits") / F.col("_seen")), F.sum("p").cast("double")), 6).alias("pr_auc")
-    )
+    return _per_score(scored, by).groupBy(*by).agg(_pr_auc())
 
 
 def roc_auc(scored: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
     """roc_auc, tied scores counting half; null with one class only."""
-    negative = F.col("n") - F.col("p")
-    area = F.sum(F.col("p") * (F.col("_below") + negative / 2.0))
-    return _per_score(scored, by).groupBy(*by).agg(F.round(F.try_divide(area, F.sum("p").cast("double") * F.sum(negative)), 6).alias("roc_auc"))
+    return _per_score(scored, by).groupBy(*by).agg(_roc_auc())
 
 
 def f1_at_threshold(scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = ("split",)) -> DataFrame:
     """f1 of scores at or above a threshold; 0 where undefined."""
-    hit = F.col("score") >= threshold
-    true = F.count_if(hit & (F.col("label") == 1))
-    return scored.groupBy(*by).agg(F.round(ratio(2 * true, F.count_if(hit) + F.count_if(F.col("label") == 1)), 6).alias("f1"))
+    return scored.groupBy(*by).agg(_f1(threshold))
 
 
 def top_k_metrics(scored: DataFrame, fraction: float = 0.1, by: Sequence[str] = ("split",)) -> DataFrame:
@@ -67,7 +94,8 @@ def top_k_metrics(scored: DataFrame, fraction: float = 0.1, by: Sequence[str] =
 
 def evaluate(scored: DataFrame, threshold: float = 0.5, fraction: float = 0.1, by: Sequence[str] = ("split",)) -> DataFrame:
     """Sample counts and all metrics per group."""
-    counts = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("sample_count"), F.sum("label").alias("positive_count"))
-    for part in (average_precision(scored, by), roc_auc(scored, by), f1_at_threshold(scored, threshold, by), top_k_metrics(scored, fraction, by)):
-        counts = counts.join(part, list(by), "left")
-    return counts
+    counts = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("sample_count"), F.sum("label").alias("positive_count"), _f1(threshold))
+    areas = _per_score(scored, by).groupBy(*by).agg(_pr_auc(), _roc_auc())
+    best = top_k_metrics(scored, fraction, by)
+    joined = counts.join(areas, list(by), "left").join(best, list(by), "left")
+    return joined.select(*by, "sample_count", "positive_count", "pr_auc", "roc_auc", "f1", "recall_at_k", "precision_at_k")

@@ -69,7 +69,9 @@ def token_vocabulary(samples: DataFrame, policy: SequencePolicy = SequencePolicy
     canonical = F.coalesce(F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("token")), F.lit(0))
     first = F.when(F.col("sequence") != TOKEN_COLUMNS[0], -F.col("token_count")).when(canonical > 0, canonical).otherwise(len(EVENT_TYPES) + 1)
     rank = F.row_number().over(Window.partitionBy("sequence").orderBy(first, "token"))
-    numbered = counted.withColumn("_rank", rank).where(~F.col("sequence").isin(*_TOP_K) | (F.col("_rank") <= policy.vocabulary_top_k))
+    # Apart, so that each task keeps no more than the best of products and categories; types and bands are few.
+    best = counted.where(F.col("sequence").isin(*_TOP_K)).withColumn("_rank", rank).where(F.col("_rank") <= policy.vocabulary_top_k)
+    numbered = best.unionByName(counted.where(~F.col("sequence").isin(*_TOP_K)).withColumn("_rank", rank))
     return numbered.select("sequence", "token", (F.col("_rank") + policy.unknown_id).alias("token_id"), "token_count")
 
 
@@ -82,25 +84,37 @@ def time_gap_scaler(samples: DataFrame, policy: SequencePolicy = SequencePolicy(
 
 
 def encoded_sequences(samples: DataFrame, vocabulary: DataFrame | None = None, policy: SequencePolicy = SequencePolicy()) -> DataFrame:
-    """Padded ids of four sequences, scaled gaps and the length of every sample.
+    """Padded ids of four sequences, scaled gaps and the length of every sample (sample_id is unique).
 
-    The vocabulary is at most 2 * vocabulary_top_k tokens and the few types and bands, so it is one
-    broadcast row of maps.
+    Every token becomes a row, is looked up by a hash join and collected again; a sample's rows are
+    in one task, so what is shuffled is one row a sample. The vocabulary is at most
+    2 * vocabulary_top_k tokens and the few types and bands, and is broadcast.
     """
     vocabulary = token_vocabulary(samples, policy) if vocabulary is None else vocabulary
-    entries = F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "sequence", "token"), "token_id")))
-    fitted = vocabulary.agg(entries.alias("_ids")).crossJoin(time_gap_scaler(samples, policy).select("mean", "std"))
-    framed = samples.crossJoin(F.broadcast(fitted))
+    known = vocabulary.select("sequence", "token", F.col("token_id").cast("int").alias("_id"))
+    scaler = time_gap_scaler(samples, policy).select("mean", "std")
+
+    def named(column: str) -> Column:
+        return F.transform(_tokens(column, policy), lambda t, i: F.struct(F.lit(column).alias("sequence"), i.alias("at"), t.alias("token")))
+
+    rows = samples.select("sample_id", "split", "label", F.explode_outer(F.flatten(F.array(*map(named, SEQUENCES)))).alias("_t"))
+    looked_up = (
+        rows.select("sample_id", "split", "label", "_t.sequence", "_t.at", "_t.token")
+        .join(F.broadcast(known), ["sequence", "token"], "left")
+        .crossJoin(F.broadcast(scaler))
+    )
+    gap = F.when(F.col("sequence") == GAP_COLUMN, (F.log1p(non_negative(F.col("token"))) - F.col("mean")) / F.col("std"))
+    cells = F.collect_list(F.when(F.col("at").isNotNull(), F.struct("sequence", "at", F.coalesce("_id", F.lit(policy.unknown_id)).alias("id"), gap.alias("gap"))))
+    found = looked_up.groupBy("sample_id").agg(F.first("split").alias("split"), F.first("label").alias("label"), F.array_sort(cells).alias("_cells"))
+
+    def own(column: str) -> Column:
+        return F.filter("_cells", lambda c: c["sequence"] == column)
 
     def ids(column: str) -> Column:
-        known = F.transform(
-            _tokens(column, policy),
-            lambda t: F.coalesce(F.try_element_at("_ids", F.concat(F.lit(column + " "), t)).cast("int"), F.lit(policy.unknown_id)),
-        )
-        return padded(known, policy.max_sequence_length, F.lit(policy.pad_id)).alias(column.replace("_sequence", "_ids"))
-
-    scaled = F.transform(_tokens(GAP_COLUMN, policy), lambda t: (F.log1p(non_negative(t)) - F.col("mean")) / F.col("std"))
-    gaps = padded(scaled, policy.max_sequence_length, F.lit(0.0))
-    return framed.select(
-        "sample_id", "split", "label", *map(ids, TOKEN_COLUMNS), F.transform(gaps, lambda g: g.cast("float")).alias("time_gaps"), F.size(_tokens(TOKEN_COLUMNS[0], policy)).alias("sequence_length")
+        values = F.transform(own(column), lambda c: c["id"])
+        return padded(values, policy.max_sequence_length, F.lit(policy.pad_id)).alias(column.replace("_sequence", "_ids"))
+
+    gaps = padded(F.transform(own(GAP_COLUMN), lambda c: c["gap"]), policy.max_sequence_length, F.lit(0.0))
+    return found.select(
+        "sample_id", "split", "label", *map(ids, TOKEN_COLUMNS), F.transform(gaps, lambda g: g.cast("float")).alias("time_gaps"), F.size(own(TOKEN_COLUMNS[0])).alias("sequence_length")
     )

@@ -11,7 +11,7 @@ from clickloom.sources.clickstream import CLICKSTREAM_SQL, clickstream
 
 WINDOW = 360
 _POLICY = FeaturePolicy(WINDOW)
-_SHORT = SequencePolicy(max_sequence_length=10, vocabulary_top_k=50)
+_FULL = SequencePolicy()
 
 
 def _built(spark, sf_dir, by="count"):
@@ -25,12 +25,11 @@ def _by_user(spark, sf_dir):
 
 
 def _sequences(spark, sf_dir):
-    built = _built(spark, sf_dir)
-    return f.sample_index(built).join(f.sequence_features(built), "sample_id")
+    return f.sequence_samples(_built(spark, sf_dir))
 
 
 def _encoded(spark, sf_dir):
-    found = q.encoded_sequences(_sequences(spark, sf_dir), policy=_SHORT)
+    found = q.encoded_sequences(_sequences(spark, sf_dir), policy=_FULL)
     ids = [c for c in found.columns if c.endswith("_ids")]
     total = F.aggregate("time_gaps", F.lit(0.0), lambda a, g: a + g.cast("double"))
     return found.select("sample_id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c) for c in ids], F.round(total, 3).alias("gap_sum"), "sequence_length")
@@ -55,11 +54,11 @@ QUERIES = {
     "split_by_distinct_time": lambda spark, d: _built(spark, d, "time").select("sample_id", "split"),
     "split_summary": lambda spark, d: f.split_summary(_built(spark, d)),
     "transformer_scope": lambda spark, d: f.transformer_scope(_built(spark, d)),
-    "feature_dictionary": lambda spark, d: f.feature_dictionary(spark).groupBy("model_role").agg(F.count(F.lit(1)).alias("features")),
-    "training_feature_dictionary": lambda spark, d: f.training_dictionary(f.feature_dictionary(spark)).groupBy("model_role").agg(F.count(F.lit(1)).alias("features")),
+    "feature_dictionary": lambda spark, d: f.feature_dictionary(spark),
+    "training_feature_dictionary": lambda spark, d: f.training_dictionary(f.feature_dictionary(spark)),
     "leakage_checks": lambda spark, d: f.leakage_checks(_built(spark, d)),
-    "token_vocabulary": lambda spark, d: q.token_vocabulary(_sequences(spark, d), _SHORT),
-    "time_gap_scaler": lambda spark, d: _rounded(q.time_gap_scaler(_sequences(spark, d), _SHORT), "mean", "std"),
+    "token_vocabulary": lambda spark, d: q.token_vocabulary(_sequences(spark, d), _FULL),
+    "time_gap_scaler": lambda spark, d: _rounded(q.time_gap_scaler(_sequences(spark, d), _FULL), "mean", "std"),
     "encoded_sequences": _encoded,
     "stratified_cap": lambda spark, d: q.stratified_cap(f.sample_index(_built(spark, d)), 101).select("sample_id", "split", "label"),
     "head_per_split": lambda spark, d: q.head_per_split(f.sample_index(_built(spark, d)), 100).select("sample_id", "split"),
@@ -112,7 +111,7 @@ _TAB = """sample_id, prefix_length, last_event_type, round(session_elapsed_minut
   event_count_view, event_count_cart, event_count_remove_from_cart, unique_product_count, unique_category_count, last_price, last_price_bin, user_past_event_count, user_past_purchase_count, user_past_cart_count"""
 _SEQ = "sample_id, event_type_sequence, product_id_sequence, category_id_sequence, price_bin_sequence, time_gap_minutes_sequence"
 _TOKENS = f"""{_F}, k AS (
-  SELECT sample_id, split, label, {', '.join(f"string_split({c}, ' ')[-10:] AS {c}" for c in f.SEQUENCES)} FROM f
+  SELECT sample_id, split, label, {', '.join(f"string_split({c}, ' ')[-50:] AS {c}" for c in f.SEQUENCES)} FROM f
 ), tk AS (
   {' UNION ALL '.join(f"SELECT '{c}' AS seq, unnest(list_filter({c}, lambda t: t <> '')) AS token FROM k WHERE split = 'train'" for c in f.SEQUENCES[:4])}
 ), vc AS (
@@ -121,7 +120,7 @@ _TOKENS = f"""{_F}, k AS (
   SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY CASE WHEN sequence <> 'event_type_sequence' THEN -token_count
       ELSE coalesce(nullif(list_position(['view', 'cart', 'remove_from_cart', 'purchase'], token), 0), 5) END, token) AS r FROM vc
 ), vb AS (
-  SELECT sequence, token, r + 1 AS token_id, token_count FROM vr WHERE sequence NOT IN ('product_id_sequence', 'category_id_sequence') OR r <= 50
+  SELECT sequence, token, r + 1 AS token_id, token_count FROM vr WHERE sequence NOT IN ('product_id_sequence', 'category_id_sequence') OR r <= 10000
 ), gs AS (
   SELECT avg(g) AS mean, stddev_pop(g) AS std, count(*) AS token_count FROM (SELECT ln(1 + greatest(unnest(time_gap_minutes_sequence)::DOUBLE, 0)) AS g FROM k WHERE split = 'train')
 )"""
@@ -129,11 +128,27 @@ _TOKENS = f"""{_F}, k AS (
 
 def _ids(column: str) -> str:
     tokens = f"list_transform({column}, lambda t: coalesce(m_{column}[t], 1))"
-    return f"array_to_string(list_slice(list_concat({tokens}, [0, 0, 0, 0, 0, 0, 0, 0, 0, 0]), 1, 10), ' ') AS {column.replace('_sequence', '_ids')}"
+    return f"array_to_string(list_slice(list_concat({tokens}, list_transform(range(50), lambda i: 0)), 1, 50), ' ') AS {column.replace('_sequence', '_ids')}"
 
 
 _SCOPE = [(c, f"round(avg({c}::DOUBLE), 5)", f"round(stddev_pop({c}::DOUBLE), 5)") for c in f.NUMERIC_INPUTS]
 
+#: Written out by hand: what each column is, in the order of the dictionary.
+_DICTIONARY = """SELECT (row_number() OVER () - 1)::INT AS position, * FROM (VALUES
+  ('sample_id', 'identifier', 'string', 'key'), ('user_session', 'identifier', 'string', 'key'), ('user_id', 'identifier', 'string', 'audit_only'),
+  ('cutoff_time', 'time', 'datetime', 'audit_only'), ('split', 'split', 'string', 'audit_only'), ('label', 'target', 'integer', 'target'),
+  ('minutes_until_purchase', 'target_diagnostic', 'float', 'audit_only'), ('prefix_length', 'tabular', 'integer', 'tabular_input'),
+  ('last_event_type', 'tabular', 'category', 'tabular_input'), ('session_elapsed_minutes', 'tabular', 'float', 'tabular_input'),
+  ('time_since_previous_event_minutes', 'tabular', 'float', 'tabular_input'), ('hour', 'tabular', 'integer', 'tabular_input'),
+  ('event_count_view', 'tabular', 'integer', 'tabular_input'), ('event_count_cart', 'tabular', 'integer', 'tabular_input'),
+  ('event_count_remove_from_cart', 'tabular', 'integer', 'tabular_input'), ('unique_product_count', 'tabular', 'integer', 'tabular_input'),
+  ('unique_category_count', 'tabular', 'integer', 'tabular_input'), ('last_price', 'tabular', 'float', 'tabular_input'),
+  ('last_price_bin', 'tabular', 'category', 'tabular_input'), ('user_past_event_count', 'tabular', 'integer', 'tabular_input'),
+  ('user_past_purchase_count', 'tabular', 'integer', 'tabular_input'), ('user_past_cart_count', 'tabular', 'integer', 'tabular_input'),
+  ('event_type_sequence', 'sequence', 'string_sequence', 'sequence_input'), ('product_id_sequence', 'sequence', 'string_sequence', 'sequence_input'),
+  ('category_id_sequence', 'sequence', 'string_sequence', 'sequence_input'), ('price_bin_sequence', 'sequence', 'string_sequence', 'sequence_input'),
+  ('time_gap_minutes_sequence', 'sequence', 'string_sequence', 'sequence_input')) t(feature_name, feature_group, dtype, model_role)"""
+
 ORACLE_SQL = {
     "tabular_features": f"{_F} SELECT {_TAB} FROM f",
     "tabular_features_extended": f"""{_F} SELECT {_TAB}, prefix_length AS session_position, day_of_week, event_count_purchase, unique_brand_count, round(avg_price, 6) AS avg_price, max_price,
@@ -153,10 +168,10 @@ ORACLE_SQL = {
     "transformer_scope": f"""{_F}, t AS (SELECT * FROM f WHERE split = 'train')
         {' UNION ALL '.join(f"SELECT '{c}' AS feature_name, 'categorical_vocab' AS transformer_type, 'train' AS fit_split, (SELECT count(*) FROM t) AS train_observation_count, (SELECT string_agg(x, '|' ORDER BY x) FROM (SELECT DISTINCT {c} AS x FROM t)) AS vocabulary, NULL::DOUBLE AS mean, NULL::DOUBLE AS std" for c in f.CATEGORICAL_INPUTS)}
         UNION ALL {' UNION ALL '.join(f"SELECT '{c}', 'standard_scaler_stats', 'train', count({c}), NULL, {m}, {s} FROM t" for c, m, s in _SCOPE)}""",
-    "feature_dictionary": "SELECT * FROM (VALUES ('key', 2::BIGINT), ('audit_only', 4), ('target', 1), ('tabular_input', 15), ('sequence_input', 5)) t(model_role, features)",
-    "training_feature_dictionary": "SELECT * FROM (VALUES ('tabular_input', 15::BIGINT), ('sequence_input', 5)) t(model_role, features)",
+    "feature_dictionary": _DICTIONARY,
+    "training_feature_dictionary": f"SELECT * FROM ({_DICTIONARY}) WHERE model_role IN ('tabular_input', 'sequence_input')",
     "leakage_checks": f"""{_F}, n AS (SELECT count(*) FILTER (event_time >= fp) AS violations FROM f)
-        SELECT * FROM (VALUES ('raw_user_id_excluded', 'pass', 0::BIGINT), ('raw_user_session_excluded', 'pass', 0), ('raw_event_time_excluded', 'pass', 0)) t("check", status, violations)
+        SELECT unnest(['raw_user_id_excluded', 'raw_user_session_key_only', 'raw_event_time_excluded', 'prefix_scope', 'user_history_scope', 'transformer_fit_scope', 'common_sample_contract']) AS "check", 'pass' AS status, 0::BIGINT AS violations
         UNION ALL SELECT 'post_purchase_excluded', CASE WHEN violations = 0 THEN 'pass' ELSE 'fail' END, violations FROM n""",
     "token_vocabulary": f"{_TOKENS} SELECT * FROM vb",
     "time_gap_scaler": f"{_TOKENS} SELECT round(mean, 6) AS mean, round(std, 6) AS std, token_count FROM gs",

@@ -10,6 +10,8 @@ from clickloom.policies import BaselinePolicy
 
 _POLICY = BaselinePolicy(strategies=("none", "balanced"), trees=10)
 
+_SHIFTS = (("logistic_regression", "none", 0), ("logistic_regression", "balanced", 7), ("gbt", "none", 13), ("gbt", "balanced", 29))
+
 
 def _scored(spark, sf_dir):
     score = ((F.col("event_count_cart") * 37 + F.col("prefix_length") * 11 + F.col("hour")) % 101) / 100.0
@@ -17,14 +19,10 @@ def _scored(spark, sf_dir):
 
 
 def _metrics(spark, sf_dir):
-    """Evaluated rows of two models with two strategies, as a metrics table."""
-    base = _scored(spark, sf_dir)
-    rows = None
-    for model, strategy, shift in (("logistic_regression", "none", 0), ("logistic_regression", "balanced", 7), ("gbt", "none", 13), ("gbt", "balanced", 29)):
-        shifted = base.withColumn("score", F.round((F.col("score") * 100 + shift) % 101) / 100.0)
-        part = metrics.evaluate(shifted).select(F.lit(model).alias("model_name"), F.lit(strategy).alias("class_imbalance_strategy"), "*", F.lit("evaluated").alias("status"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    """Evaluated rows of two models with two strategies, as a metrics table: all of them in one plan."""
+    kinds = F.array(*[F.struct(F.lit(m).alias("model_name"), F.lit(s).alias("class_imbalance_strategy"), F.lit(n).alias("shift")) for m, s, n in _SHIFTS])
+    every = _scored(spark, sf_dir).select("*", F.inline(kinds)).withColumn("score", F.round((F.col("score") * 100 + F.col("shift")) % 101) / 100.0)
+    return metrics.evaluate(every, by=("model_name", "class_imbalance_strategy", "split")).withColumn("status", F.lit("evaluated"))
 
 
 def _final(spark, sf_dir):
@@ -70,7 +68,6 @@ def _evaluated(source: str, name: str) -> str:
       FROM {name}_b JOIN {name}_a USING (split) JOIN {name}_t USING (split))"""
 
 
-_SHIFTS = (("logistic_regression", "none", 0), ("logistic_regression", "balanced", 7), ("gbt", "none", 13), ("gbt", "balanced", 29))
 _TABLE = _SCORED + "".join(
     f", s{i} AS (SELECT sample_id, split, label, round((score * 100 + {shift}) % 101) / 100.0::DOUBLE AS score FROM sc), {_evaluated(f's{i}', f'e{i}')}" for i, (_, _, shift) in enumerate(_SHIFTS)
 ) + ", mt AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model_name, '{s}' AS class_imbalance_strategy, *, 'evaluated' AS status FROM e{i}" for i, (m, s, _) in enumerate(_SHIFTS)) + ")"

@@ -7,6 +7,7 @@ event_type, product_id, category_id, category_code, brand, price, user_id, user_
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,15 +25,26 @@ _IDS = ("product_id", "category_id", "user_id")
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with header as text columns and source_order; null texts become null.
 
-    Columns are taken by name, absent ones are null and further ones are left out. source_order is
-    the position in the files as Spark lists them: 33 bits of a partition, then the row.
+    Columns are taken by name, absent ones are null and further ones are left out. source_order
+    rises with the file's name, then with the place in it: 15 bits of the file, 18 of the part of
+    the file that is read at once (parts begin at least 4 MB apart) and 30 of the row.
     """
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    files = sorted(raw.inputFiles())
+    if len(files) > 1 << 15:
+        raise ValueError(f"{len(files)} files: read at most {1 << 15} at once, or merge small ones first")
+    # The two listings may write file:/ and file:/// for the same file.
+    known = spark.createDataFrame([(re.sub("^([a-z0-9]+):/+", r"\1:/", name), i) for i, name in enumerate(files)], "_path string, _file long")
+    apart = min(1 << 22, int(spark.conf.get("spark.sql.files.openCostInBytes").removesuffix("b")), int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b")))
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 30) - 1)
+    part = F.floor(F.col("_metadata.file_block_start") / apart)
+    raw = raw.select("*", F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/").alias("_path"), part.alias("_part"), row.alias("_at")).join(F.broadcast(known), "_path")
+    order = F.shiftleft(F.col("_file"), 48) + F.shiftleft(F.col("_part"), 30) + F.col("_at")
     columns = [
         (F.when(F.col(c).isin(*NULL_TEXTS), None).otherwise(F.col(c)) if c in raw.columns else F.lit(None).cast("string")).alias(c)
         for c in REQUIRED_COLUMNS
     ]
-    return raw.select(F.monotonically_increasing_id().alias("source_order"), *columns)
+    return raw.select(order.alias("source_order"), *columns)
 
 
 def canonical(raw: DataFrame) -> DataFrame:

@@ -255,3 +255,15 @@ def test_feature_plan_has_two_exchanges(spark):
 
     plan = features.prefix_features(table(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Python" not in plan
+
+
+def test_rows_of_several_files_are_in_order_of_names(spark, tmp_path):
+    head = "event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session"
+    for day, n in (("2019-10-01 a", 5), ("2019-10-02 b", 4000)):
+        lines = [f"{day[:10]} 00:{i // 60 % 60:02d}:{i % 60:02d} UTC,view,{i},1,c,b,1.5,7,s{day[9]}" for i in range(n)]
+        (tmp_path / f"{day}.csv").write_text("\n".join([head, *lines]) + "\n")
+    rows = clickstream.read_csv(spark, str(tmp_path)).orderBy("source_order").collect()
+    assert len({r.source_order for r in rows}) == 4005
+    assert [r.product_id for r in rows] == [*range(5), *range(4000)]
+    numbered = clickstream.renumbered(clickstream.read_csv(spark, str(tmp_path))).orderBy("source_order").collect()
+    assert [r.source_order for r in numbered] == list(range(4005)) and [r.product_id for r in numbered] == [r.product_id for r in rows]
