@@ -7,40 +7,60 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A selected k-gram is one long: 35 bits of its hash above 28 bits of its position counted from the end.
+#: A selected k-gram is one long: 31 bits of its hash above 28 bits of its position counted from the end.
 POSITION_BITS = 28
 _LAST = (1 << POSITION_BITS) - 1
+#: Rolling hashes are polynomials of word hashes at RADIX, modulo a prime below 2 ** 31, so products fit a long.
+PRIME = (1 << 31) - 1
+RADIX = 1_000_003_999
+
+
+def _spans(size: int) -> list[tuple[int, int]]:
+    """How runs of `size` are made of shorter ones: (done, more) pairs, a run of `done` followed by one of `more`."""
+    steps, done = [], 1
+    for bit in bin(size)[3:]:
+        steps.append((done, done))
+        done *= 2
+        if bit == "1":
+            steps.append((done, 1))
+            done += 1
+    return steps
 
 
 def with_grams(df: DataFrame, text: str, out: str, k: int, window: int) -> DataFrame:
     """df with the winnowed k-grams of a text column as packed longs in `out`, in text order.
 
-    Words (runs of letters and digits, in lower case) are hashed, each k successive hashes make a
-    k-gram hash, and of each `window` successive k-grams the least hash is selected, the rightmost
-    of equals: the position is packed below the hash counted from the end, so the smallest long is
-    both. Any k + window - 1 words that two texts share have a selected k-gram in common. A text of
-    fewer than k words is one k-gram, fewer than `window` k-grams are one window, and a text
-    without words selects nothing. Each array is a column of its own, so it is made once.
+    Words (runs of letters and digits, in lower case) are hashed; the hash of k successive words is
+    the rolling (polynomial) hash of their hashes. An array expression has no running state, so the
+    recurrence goes over lengths instead of positions: the hash of 2n words follows from those of n
+    words here and n words on, at every position at once, and k words take about log2(k) such steps.
+    Minima of windows are made of those of half windows in the same way. Of each `window` successive
+    k-grams the least hash is selected, the rightmost of equals: the position is packed below the
+    hash counted from the end, so the smallest long is both. Any k + window - 1 words that two texts
+    share have a selected k-gram in common. A text of fewer than k words is one k-gram, fewer than
+    `window` k-grams are one window, and a text without words selects nothing. Each array is a
+    column of its own, so it is made once.
     """
     words = rf"split(lower({text}), '[^\\p{{L}}\\p{{N}}]+')"
-    rest = ", ".join(f"get(_h, i + {j})" for j in range(1, k))
-    mask = (1 << (63 - POSITION_BITS)) - 1
-    pack = f"(shiftleft(xxhash64(x, {rest}) & {mask}L, {POSITION_BITS}) | ({_LAST}L - i))"
-    others = ", ".join(f"get(_g, i + {j})" for j in range(1, window))
-    return (
+    df = (
         df.withColumn("_w", F.expr(words))
-        .withColumn("_h", F.expr("transform(filter(_w, w -> w <> ''), w -> xxhash64(w))"))
+        .withColumn("_h", F.expr(f"transform(filter(_w, w -> w <> ''), w -> pmod(xxhash64(w), {PRIME}L))"))
         .drop("_w")
-        .withColumn("_g", F.expr(f"slice(transform(_h, (x, i) -> {pack}), 1, least(size(_h), greatest(1, size(_h) - {k - 1})))"))
-        .drop("_h")
-        .withColumn(
-            out,
-            F.expr(
-                f"array_distinct(slice(transform(_g, (x, i) -> least(x, {others})), 1, least(size(_g), greatest(1, size(_g) - {window - 1}))))"
-            ),
-        )
-        .drop("_g")
+        .withColumn("_r", F.col("_h"))
     )
+    for done, more in _spans(k):
+        following = "_r" if more == done else "_h"
+        # Past the end of the text a word counts as 0: only the one k-gram of a text of fewer than k words holds such.
+        joined = f"(x * {pow(RADIX, more, PRIME)}L + coalesce(get({following}, i + {done}), 0L)) % {PRIME}L"
+        df = df.withColumn("_r", F.expr(f"transform(_r, (x, i) -> {joined})"))
+    grams = f"least(size(_h), greatest(1, size(_h) - {k - 1}))"
+    pack = f"(shiftleft(x, {POSITION_BITS}) | ({_LAST}L - i))"
+    df = df.withColumn("_g", F.expr(f"transform(slice(_r, 1, {grams}), (x, i) -> {pack})")).withColumn("_m", F.col("_g"))
+    for done, more in _spans(window):
+        following = "_m" if more == done else "_g"
+        df = df.withColumn("_m", F.expr(f"transform(_m, (x, i) -> least(x, get({following}, i + {done})))"))
+    windows = f"least(size(_g), greatest(1, size(_g) - {window - 1}))"
+    return df.withColumn(out, F.expr(f"array_distinct(slice(_m, 1, {windows}))")).drop("_h", "_r", "_g", "_m")
 
 
 def fingerprint_text(selected: str) -> Column:

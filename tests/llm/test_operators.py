@@ -145,13 +145,15 @@ def test_html_query(spark):
 
 def winnow(text, k=5, w=8):
     tokens = [x for x in re.split(r"[^\w]+|_", (text or "").lower()) if x]
-    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in tokens]
-    grams = []
-    for i in range(max(1, len(h) - k + 1) if h else 0):
-        seed = 42
-        for x in h[i : i + k]:
-            seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
-        grams.append(seed & ((1 << 35) - 1))
+    signed = [int.from_bytes(xxhash.xxh64_digest(x.encode(), 42), "big", signed=True) for x in tokens]
+    prime, radix = fingerprints.PRIME, fingerprints.RADIX
+    h = [x % prime for x in signed]
+    h += [0] * (k - len(h) if h else 0)
+    grams, rolling = [], 0
+    for i, x in enumerate(h):
+        rolling = (rolling * radix + x - (h[i - k] * pow(radix, k, prime) if i >= k else 0)) % prime
+        if i >= k - 1:
+            grams.append(rolling)
     out = []
     for i in range(max(1, len(grams) - w + 1) if grams else 0):
         window = grams[i : i + w]
@@ -190,6 +192,13 @@ def test_fingerprints_equal_brute_force(spark, edge, empty):
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("k, window", [(1, 1), (2, 3), (3, 1), (7, 6), (12, 13)])
+def test_fingerprints_of_other_sizes(spark, k, window):
+    rows = [(1, "a b a b a b a b a b a b a b"), (2, " ".join(f"w{i % 17}" for i in range(90))), (3, "one two"), (4, "")]
+    found = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"), k, window).collect()
+    assert {r.doc_id: r.fingerprint for r in found} == {i: " ".join(f"{m:x}:{p}" for m, p in winnow(t, k, window)) for i, t in rows}
+
+
 def test_fingerprints_many_buckets(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text")
     rows = fingerprints.with_next(docs, rows_per_bucket=7)
