@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from clickloom.operators import models
-from clickloom.policies import BaselinePolicy, FeaturePolicy, LabelingPolicy, QualityPolicy
+from clickloom.policies import BaselinePolicy, FeaturePolicy, LabelingPolicy, QualityPolicy, SequencePolicy
 from clickloom.sources import artifacts
 from clickloom.sources.clickstream import first_rows, read_csv, renumbered, until
 
@@ -15,9 +15,11 @@ from clickloom.sources.clickstream import first_rows, read_csv, renumbered, unti
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     """Run one step; its artifacts go to the output folder."""
     parser = argparse.ArgumentParser(prog="clickloom", description=__doc__)
-    parser.add_argument("step", choices=("profile", "quality", "labels", "eda", "features", "baselines"))
-    parser.add_argument("--events", help="clickstream CSV (all steps but baselines)")
-    parser.add_argument("--features", help="feature folder (baselines)")
+    parser.add_argument("step", choices=("profile", "quality", "labels", "eda", "features", "baselines", "sequences", "report"))
+    parser.add_argument("--events", help="clickstream CSV (profile to features)")
+    parser.add_argument("--features", help="feature folder (baselines, sequences)")
+    parser.add_argument("--baselines", help="folder of the baselines step (report)")
+    parser.add_argument("--sequence-metrics", help="metric CSV of a sequence model (report); without it only baselines are compared")
     parser.add_argument("--out", required=True)
     parser.add_argument("--window-minutes", type=int, default=30)
     parser.add_argument("--until", help="last time, or last day")
@@ -31,9 +33,26 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser.add_argument("--trees", type=int, default=200)
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("clickloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if given.step == "report":
+        if not given.baselines:
+            parser.error("report needs --baselines")
+        names = ("model_metrics", "feature_importance")
+        paths = {name: f"{given.baselines}/{name}" for name in names}
+        metrics, importance = (artifacts.read_report(spark, paths[name]) for name in names)
+        if metrics is None or importance is None:
+            parser.error("first run: " + ", ".join(artifacts.missing_commands(artifacts.artifact_status(spark, paths))))
+        sequence = artifacts.read_report(spark, given.sequence_metrics) if given.sequence_metrics else metrics.limit(0)
+        if sequence is None:
+            parser.error(f"no metrics at {given.sequence_metrics}")
+        artifacts.write_comparison(metrics, sequence, given.out, importance)
+        return
+    if given.step in ("baselines", "sequences") and not given.features:
+        parser.error(f"{given.step} needs --features")
+    if given.step == "sequences":
+        samples = artifacts.read_samples(spark, given.features, sequences=True, per_split=given.max_samples_per_split)
+        artifacts.write_sequences(samples, given.out, SequencePolicy(max_sequence_length=given.max_sequence_length))
+        return
     if given.step == "baselines":
-        if not given.features:
-            parser.error("baselines need --features")
         samples = artifacts.read_samples(spark, given.features, per_split=given.max_samples_per_split)
         artifacts.write_baselines(*models.train_baselines(samples, BaselinePolicy(trees=given.trees), tuple(given.models), print), given.out)
         return

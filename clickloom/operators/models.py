@@ -107,7 +107,8 @@ def train_baselines(
                 kind = "coefficient" if name == "logistic_regression" else "gain"
                 ranked = sorted(zip(fitted.names, map(float, values.toArray())), key=lambda x: -abs(x[1]))
                 importance += [(name, strategy, f, v, kind, i + 1) for i, (f, v) in enumerate(ranked)]
-            metrics.append(rows.withColumn("model_name", F.lit(name)).withColumn("class_imbalance_strategy", F.lit(strategy)).withColumn("status", F.lit(status)))
+            named = {"model_name": name, "class_imbalance_strategy": strategy, "threshold": policy.threshold, "top_k_fraction": policy.top_k_fraction, "status": status}
+            metrics.append(rows.withColumns({column: F.lit(value) for column, value in named.items()}))
     table = metrics[0]
     for other in metrics[1:]:
         table = table.unionByName(other)

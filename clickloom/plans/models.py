@@ -22,7 +22,7 @@ def _metrics(spark, sf_dir):
     """Evaluated rows of two models with two strategies, as a metrics table: all of them in one plan."""
     kinds = F.array(*[F.struct(F.lit(m).alias("model_name"), F.lit(s).alias("class_imbalance_strategy"), F.lit(n).alias("shift")) for m, s, n in _SHIFTS])
     every = _scored(spark, sf_dir).select("*", F.inline(kinds)).withColumn("score", F.round((F.col("score") * 100 + F.col("shift")) % 101) / 100.0)
-    return metrics.evaluate(every, by=("model_name", "class_imbalance_strategy", "split")).withColumn("status", F.lit("evaluated"))
+    return metrics.evaluate(every, by=("model_name", "class_imbalance_strategy", "split")).withColumns({"threshold": F.lit(0.5), "top_k_fraction": F.lit(0.1), "status": F.lit("evaluated")})
 
 
 def _final(spark, sf_dir):
@@ -44,7 +44,7 @@ QUERIES = {
     "best_strategy": lambda spark, d: comparison.best_strategy(_metrics(spark, d)),
     "sample_contract_status": lambda spark, d: comparison.sample_contract_status(_metrics(spark, d)),
     "final_comparison": _final,
-    "test_metrics": lambda spark, d: comparison.test_metrics(_metrics(spark, d)).select("model_name", "class_imbalance_strategy", "pr_auc"),
+    "test_metrics": lambda spark, d: comparison.test_metrics(_metrics(spark, d)),
     "status_counts": lambda spark, d: comparison.status_counts(_metrics(spark, d)),
     "logistic_baseline": lambda spark, d: models.train_baselines(_built(spark, d), _POLICY, ("logistic_regression",))[0],
     "gbt_baseline": lambda spark, d: models.train_baselines(_built(spark, d), BaselinePolicy(strategies=("none",), trees=5), ("gbt",))[0],
@@ -70,7 +70,7 @@ def _evaluated(source: str, name: str) -> str:
 
 _TABLE = _SCORED + "".join(
     f", s{i} AS (SELECT sample_id, split, label, round((score * 100 + {shift}) % 101) / 100.0::DOUBLE AS score FROM sc), {_evaluated(f's{i}', f'e{i}')}" for i, (_, _, shift) in enumerate(_SHIFTS)
-) + ", mt AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model_name, '{s}' AS class_imbalance_strategy, *, 'evaluated' AS status FROM e{i}" for i, (m, s, _) in enumerate(_SHIFTS)) + ")"
+) + ", mt AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model_name, '{s}' AS class_imbalance_strategy, *, 0.5::DOUBLE AS threshold, 0.1::DOUBLE AS top_k_fraction, 'evaluated' AS status FROM e{i}" for i, (m, s, _) in enumerate(_SHIFTS)) + ")"
 _BEST = "bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY pr_auc DESC, class_imbalance_strategy) AS i FROM mt WHERE split = 'validation' AND pr_auc IS NOT NULL) WHERE i = 1)"
 _ONE = f"{_SCORED}, {_evaluated('sc', 'ev')}"
 
@@ -82,7 +82,12 @@ ORACLE_SQL = {
     "evaluate": f"{_ONE} SELECT * FROM ev",
     "best_strategy": f"{_TABLE}, {_BEST} SELECT model_name, class_imbalance_strategy, split AS selected_on, pr_auc AS selected_value FROM bs",
     "sample_contract_status": f"{_TABLE} SELECT split, CASE WHEN count(DISTINCT model_name) <= 1 THEN 'single_model_only' WHEN count(DISTINCT (sample_count, positive_count)) = 1 THEN 'matched_by_split_counts' ELSE 'mismatch_by_split_counts' END AS sample_contract_status FROM mt GROUP BY 1",
-    "final_comparison": f"{_TABLE}, {_BEST} SELECT mt.*, 'matched_by_split_counts' AS sample_contract_status FROM mt JOIN bs USING (model_name, class_imbalance_strategy)",
-    "test_metrics": f"{_TABLE} SELECT model_name, class_imbalance_strategy, pr_auc FROM mt WHERE split = 'test'",
+    "final_comparison": f"""{_TABLE}, {_BEST}, ch AS (SELECT mt.* FROM mt JOIN bs USING (model_name, class_imbalance_strategy)),
+      cs AS (SELECT split, CASE WHEN count(DISTINCT model_name) <= 1 THEN 'single_model_only' WHEN count(DISTINCT (sample_count, positive_count)) = 1
+             THEN 'matched_by_split_counts' ELSE 'mismatch_by_split_counts' END AS sample_contract_status FROM ch GROUP BY 1)
+      SELECT CASE model_name WHEN 'gbt' THEN 'Gradient-boosted trees' ELSE 'Logistic Regression' END || ' (' || class_imbalance_strategy || ')' AS model_display, ch.*,
+             'validation_pr_auc' AS selection_metric, sample_contract_status,
+             CASE model_name WHEN 'gbt' THEN 'sequence_metrics' ELSE 'model_metrics' END AS source_artifact FROM ch JOIN cs USING (split)""",
+    "test_metrics": f"{_TABLE} SELECT * FROM mt WHERE split = 'test'",
     "status_counts": f"{_TABLE} SELECT status, count(*) AS count FROM mt GROUP BY 1",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators import eda, features, labels, profile, quality
-from clickloom.policies import FeaturePolicy, LabelingPolicy, QualityPolicy
+from clickloom.policies import FeaturePolicy, LabelingPolicy, QualityPolicy, SequencePolicy
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -103,14 +103,43 @@ def write_features(events: DataFrame, folder: str, policy: FeaturePolicy = Featu
     write_reports(spark, tables, "Features", f"{folder}/reports")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found))
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table written by write_report, or any CSV file with header, as text columns; None if it isn't there."""
+    return spark.read.option("header", True).csv(path) if _exists(spark, path) else None
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A page written by write_text; None if it isn't there."""
+    if not _exists(spark, path):
+        return None
+    return "\n".join(r.value for r in spark.read.text(path).coalesce(1).collect())
+
+
+#: The step that writes each artifact which the final report shows.
+WRITTEN_BY = {
+    "model_metrics": "baselines", "feature_importance": "baselines", "model_status": "baselines",
+    "final_comparison": "report", "interpretation.md": "report",
+}
+
+
 def artifact_status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """name, path, present of expected artifacts, on any file system."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """name, path, present, and the command that writes it (null if unknown) of expected artifacts, on any file system."""
     rows = []
     for name, path in paths.items():
-        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        rows.append((name, path, bool(found.getFileSystem(conf).exists(found))))
-    return spark.createDataFrame(rows, "name string, path string, present boolean").orderBy(F.col("present"), "name")
+        step = WRITTEN_BY.get(name)
+        rows.append((name, path, _exists(spark, path), step and f"python -m clickloom {step}"))
+    return spark.createDataFrame(rows, "name string, path string, present boolean, command string").orderBy(F.col("present"), "name")
+
+
+def missing_commands(status: DataFrame) -> list[str]:
+    """The commands that write what is absent, each once, in their order in WRITTEN_BY."""
+    wanted = {r.command for r in status.where("not present and command is not null").select("command").distinct().collect()}
+    return [c for c in dict.fromkeys(f"python -m clickloom {step}" for step in WRITTEN_BY.values()) if c in wanted]
 
 
 def read_samples(spark: SparkSession, folder: str, sequences: bool = False, per_split: int | None = None) -> DataFrame:
@@ -137,10 +166,40 @@ def write_baselines(metrics: DataFrame, importance: DataFrame, folder: str) -> N
     write_reports(metrics.sparkSession, tables, "Baseline models", folder)
 
 
-def write_comparison(baseline: DataFrame, sequence: DataFrame, folder: str) -> None:
-    """The final comparison of baseline and sequence models, and the test metrics of both."""
+def write_sequences(samples: DataFrame, folder: str, policy: SequencePolicy = SequencePolicy()) -> None:
+    """The encoded data set of a sequence model: vocabulary, gap scaler, and encoded samples by split.
+
+    `samples` has split, label and the sequences (read_samples with sequences). The vocabulary is
+    stored first, so it isn't counted again for the encoding.
+    """
+    from clickloom.operators import sequences as seq
+
+    spark = samples.sparkSession
+    write_parquet(seq.token_vocabulary(samples, policy), f"{folder}/token_vocabulary")
+    vocabulary = spark.read.parquet(f"{folder}/token_vocabulary")
+    write_report(seq.time_gap_scaler(samples, policy), f"{folder}/time_gap_scaler")
+    seq.encoded_sequences(samples, vocabulary, policy).write.mode("overwrite").partitionBy("split").parquet(f"{folder}/encoded_sequences")
+
+
+def write_sequence_model(metrics: DataFrame, history: DataFrame, folder: str) -> None:
+    """Metrics, status and training history of a sequence model that was fitted elsewhere on the encoded data set."""
+    from clickloom.operators import comparison
+
+    tables = {
+        "sequence_metrics": metrics,
+        "sequence_status": comparison.status_counts(metrics),
+        "training_history": history.orderBy("epoch"),
+        "training_trend": comparison.training_trend(history),
+    }
+    write_reports(metrics.sparkSession, tables, "Sequence model", folder)
+
+
+def write_comparison(baseline: DataFrame, sequence: DataFrame, folder: str, importance: DataFrame | None = None) -> None:
+    """The final comparison of baseline and sequence models, the test metrics of both and, with importance, its interpretation."""
     from clickloom.operators import comparison
 
+    compared = comparison.final_comparison(baseline, sequence)
     both = comparison.normalized(baseline).unionByName(comparison.normalized(sequence))
-    tables = {"final_comparison": comparison.final_comparison(baseline, sequence), "test_metrics": comparison.test_metrics(both)}
-    write_reports(baseline.sparkSession, tables, "Model comparison", folder)
+    write_reports(baseline.sparkSession, {"final_comparison": compared, "test_metrics": comparison.test_metrics(both)}, "Model comparison", folder)
+    if importance is not None:
+        write_text(baseline.sparkSession, comparison.interpretation(compared, importance), f"{folder}/interpretation.md")
