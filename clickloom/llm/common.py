@@ -63,6 +63,14 @@ def forget(*stored: DataFrame) -> None:
         file_system.delete(path, True)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """`name`, or with as many underscores before it as no column has (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def doc_crc(doc_id: Column) -> Column:
     """crc32 of the id written as decimal text, which fixes the held-out folds."""
     return F.crc32(doc_id.cast("string").cast("binary"))

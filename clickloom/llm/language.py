@@ -227,8 +227,8 @@ def language_sample(docs: DataFrame, policy: LanguagePolicy) -> tuple[list[str],
     return rows["text"].tolist(), rows["_lang"].tolist()
 
 
-def identify_language(docs: DataFrame, model: LanguageModel | None, likeness_too: bool = True) -> DataFrame:
-    """`docs` (doc_id, text and any other columns) with _language: struct<lang_pred, score, known>.
+def identify_language(docs: DataFrame, model: LanguageModel | None, likeness_too: bool = True, column: str = "_language") -> DataFrame:
+    """`docs` (doc_id, text and any other columns) with `column`: struct<lang_pred, score, known>.
 
     `und` with score 0 if the text is null or has no letter, or without a model. It is known if the text
     is like the language predicted, which is not looked at without likeness_too. Whole texts count;
@@ -237,7 +237,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, likeness_too
     kind = "lang_pred string, score double, known boolean"
     if model is None:
         nothing = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("known"))
-        return docs.withColumn("_language", nothing)
+        return docs.withColumn(column, nothing)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(kind)
@@ -259,7 +259,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, likeness_too
                 out.append(pd.DataFrame({"lang_pred": names[best], "score": score, "known": known}))
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": [], "known": []})
 
-    return docs.withColumn("_language", identify(F.col("text")))
+    return docs.withColumn(column, identify(F.col("text")))
 
 
 def fitted(docs: DataFrame, policy: LanguagePolicy = LanguagePolicy()) -> LanguageModel | None:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import forget, saved
+from clickloom.llm.common import forget, saved, unused
 
 _ROWS = 1 << 16
 #: Words of a text aligned with the same part of the other.
@@ -432,13 +432,17 @@ def near_duplicates(docs: DataFrame, policy: NearPolicy = NearPolicy()) -> DataF
 
 
 def without_near_duplicates(docs: DataFrame, policy: NearPolicy = NearPolicy()) -> DataFrame:
-    """One row of each class: the rows of `docs` with the class's least doc_id, repeated rows once."""
-    keep = near_duplicates(docs, policy).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_keep")).distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    source = docs.withColumn("_digest", F.unhex(F.md5(text.cast("binary"))))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(*[c for c, kind in docs.dtypes if c != "text" and "map<" not in kind]))
-    joined = source.join(keep, F.col("_digest").eqNullSafe(F.col("_keep")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return joined.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    """One row of each class: the rows of `docs` with the class's least doc_id, repeated rows once.
+
+    Other columns may have any names. Null texts are empty texts; an empty table stays empty.
+    """
+    digest, turn, kept_id, kept_digest = (unused(docs.columns, name) for name in ("_digest", "_turn", "_id", "_keep"))
+    keep = near_duplicates(docs, policy).where("kept").select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest)).distinct()
+    source = docs.withColumn(digest, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    order = [c for c, kind in docs.dtypes if c != "text" and "map<" not in kind]
+    first = F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(*order))
+    joined = source.join(keep, F.col(digest).eqNullSafe(F.col(kept_digest)) & F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    return joined.withColumn(turn, first).where(F.col(turn) == 1).select(*docs.columns)
 
 
 def op10_near_dedup(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from clickloom.llm import mixing, toxicity
-from clickloom.llm.common import table
+from clickloom.llm.common import saved, table
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +50,22 @@ def test_unlike_texts_go(spark):
     assert len(clean - kept) <= 0.002 * len(clean)
 
 
+def test_stages_with_nulls_repeats_and_clashing_names(spark):
+    docs = table(spark, SF, "documents").limit(150)
+    extra = spark.createDataFrame([(None, None, None, None, None), (900001, None, "en", "a", 0), (900002, "", None, None, 0), (900002, "", None, None, 0)], docs.schema)
+    docs = saved(docs.unionByName(extra).unionByName(docs.limit(3)), "clash")
+    clashing = docs
+    for name in ("_toxicity", "_Language", "_digest", "_turn", "_id", "_keep", "target", "source_size"):
+        clashing = clashing.withColumn(name, F.lit("own"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, clashing, SF)
+        assert kept.columns == clashing.columns, name
+        plain = stage(spark, docs, SF)
+        assert sorted(map(str, kept.select(*docs.columns).collect())) == sorted(map(str, plain.collect())), name
+        assert {tuple(r) for r in kept.select(*clashing.columns[len(docs.columns) :]).distinct().collect()} == {("own",) * 8}, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
 def test_run(spark):
     pieces = corpus_pipeline.run(spark, SF)
     total = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.count(F.lit(1)), F.sum("n")).first()
