@@ -12,26 +12,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import language, mixing, near_dedup, packing, toxicity
-from clickloom.llm.common import saved, table
+from clickloom.llm.common import saved, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold, fitted on the labelled ones among them."""
-    policy = toxicity.ToxicityPolicy()
+    """Documents whose toxicity score is below the threshold, fitted on the labelled ones among them.
+
+    Null and empty texts are scored as texts without windows; without labels of both kinds all stay.
+    """
+    policy, score = toxicity.ToxicityPolicy(), unused(docs.columns, "_toxicity")
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), policy)
-    return toxicity.score_toxicity(docs, model, "_toxicity").where(F.col("_toxicity") < policy.threshold).select(*docs.columns)
+    return toxicity.score_toxicity(docs, model, score).where(F.col(score) < policy.threshold).select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model knows: not `und`, like that language, and not less sure than the policy's score."""
-    policy = language.LanguagePolicy()
-    found = language.identify_language(docs, language.fitted(docs, policy))
-    known = (F.col("_language.lang_pred") != "und") & F.col("_language.known") & (F.col("_language.score") >= policy.min_score)
-    return found.where(known).select(*docs.columns)
+    """Documents in a language the model knows: not `und`, like that language, and not less sure than the policy's score.
+
+    Null texts, texts without a letter, and all texts where no language is labelled go.
+    """
+    policy, column = language.LanguagePolicy(), unused(docs.columns, "_language")
+    found = language.identify_language(docs, language.fitted(docs, policy), column=column)
+    said = F.col(column)
+    return found.where((said["lang_pred"] != "und") & said["known"] & (said["score"] >= policy.min_score)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates; null texts are empty texts, so copies of each other."""
     return near_dedup.without_near_duplicates(docs)
 
 
