@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import chat, fingerprints, html_text, language, mixing, near_dedup, neighbours, packing, toxicity, warc
+from clickloom.llm import chat, filter_audit, fingerprints, html_text, language, mixing, near_dedup, neighbours, packing, toxicity, vector_codes, warc
 from clickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,10 +22,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": lambda spark, sf_dir: mixing.op8_mixing(table(spark, sf_dir, "documents")),
     "op9_chat": lambda spark, sf_dir: chat.op9_chat(table(spark, sf_dir, "conversations")),
     "op10_near_dedup": lambda spark, sf_dir: near_dedup.op10_near_dedup(table(spark, sf_dir, "documents")),
+    "op11_vector_codes": lambda spark, sf_dir: vector_codes.op11_vector_codes(table(spark, sf_dir, "embeddings")),
+    "op13_filter_audit": lambda spark, sf_dir: filter_audit.op13_filter_audit(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op9_chat": chat.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
