@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import chat, filter_audit, fingerprints, html_text, language, mixing, near_dedup, neighbours, packing, toxicity, vector_codes, warc
+from clickloom.llm import chat, filter_audit, fingerprints, html_text, language, mixing, near_dedup, neighbours, ngram_join, packing, toxicity, vector_codes, warc
 from clickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": lambda spark, sf_dir: chat.op9_chat(table(spark, sf_dir, "conversations")),
     "op10_near_dedup": lambda spark, sf_dir: near_dedup.op10_near_dedup(table(spark, sf_dir, "documents")),
     "op11_vector_codes": lambda spark, sf_dir: vector_codes.op11_vector_codes(table(spark, sf_dir, "embeddings")),
+    "op12_ngram_join": lambda spark, sf_dir: ngram_join.op12_ngram_join(table(spark, sf_dir, "documents")),
     "op13_filter_audit": lambda spark, sf_dir: filter_audit.op13_filter_audit(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ),
@@ -33,5 +34,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_mixing": mixing.ORACLE,
     "op9_chat": chat.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
+    "op12_ngram_join": ngram_join.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
 }
