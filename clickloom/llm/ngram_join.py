@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -78,24 +79,27 @@ def node_of(grams: np.ndarray) -> int:
     return int(_mix(np.array([_mix(grams + _GROUP).sum() + np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
 
 
+def _few_filled(members: int, blocks: int, most: int) -> float:
+    """The chance that so many members leave all but at most `most` of so many blocks empty; by a normal curve beyond 400 members."""
+    if members > 400:
+        empty = blocks * (1 - 1 / blocks) ** members
+        spread = blocks * (blocks - 1) * (1 - 2 / blocks) ** members + empty - empty * empty
+        return 0.5 * math.erfc((blocks - empty - most - 0.5) / math.sqrt(2 * max(spread, 1e-9)))
+    filled = np.zeros(most + 1)
+    filled[0] = 1.0
+    again = np.arange(most + 1) / blocks
+    for _ in range(members):
+        filled = filled * again + np.concatenate([[0.0], filled[:-1] * (1 - again[:-1])])
+    return float(filled.sum())
+
+
 def _spare(least: int, differing: int, odds: float) -> int:
-    """How many blocks more are needed so that a set of `least` members leaves more than that empty only with `odds`."""
-    spare = 0
-    while True:
-        blocks = differing + 1 + spare
-        mean = blocks * (1 - 1 / blocks) ** least if blocks > 1 else 0.0
-        if mean > 200:
-            if spare >= mean + 4 * math.sqrt(mean):
-                return spare
-            spare += 1
-            continue
-        term = at_most = math.exp(-mean)
-        for i in range(1, spare + 1):
-            term *= mean / i
-            at_most += term
-        if 1 - at_most < odds or mean == 0:
-            return spare
-        spare += 1
+    """How many blocks more are needed so that a set of `least` members fills at most `differing` blocks only with `odds`."""
+    enough = lambda spare: _few_filled(least, differing + 1 + spare, differing) < odds
+    high = 1
+    while not enough(high) and high < 64 * least:
+        high *= 2
+    return bisect_left(range(high), True, key=enough)
 
 
 @cache
@@ -153,7 +157,7 @@ def block_keys(grams: np.ndarray, policy: JoinPolicy) -> np.ndarray:
         if blocks - len(start) > spare:
             gaps = np.setdiff1d(np.arange(blocks, dtype=np.uint64), at, assume_unique=True)
             content, at = np.concatenate([content, np.zeros(len(gaps), np.uint64)]), np.concatenate([at, gaps])
-        found.append(_mix(content + _mix(at + np.uint64(layout) * _GROUP)))
+        found.append(_mix(content + _mix(at + np.array([layout], np.uint64) * _GROUP)))
     return np.concatenate(found).view(np.int64)
 
 
