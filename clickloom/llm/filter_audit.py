@@ -119,7 +119,8 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are then known by digest; copies are summed before they meet, so a text that a third of all rows
     have is a few rows there. Null texts are empty texts. Rows without doc_id have no smaller one
     and make nobody fail; repeated rows count each, and don't fail for each other. A document with
-    several labels is good, or toxic, if one says so. Null lang is the part of the empty string.
+    several labels is good, or toxic, if one says so; one without id has none. Null lang is the part of
+    the empty string.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     failures = [F.when(failed, 1 << bit).otherwise(0) for bit, failed in enumerate(text_failures(text))]
