@@ -223,7 +223,7 @@ def meetings(sketches: DataFrame, policy: JoinPolicy) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, policy: JoinPolicy) -> DataFrame:
-    """node, grams of the given nodes, from the texts of the rows with the least id of each.
+    """node, size, grams, folded of the given nodes, from the texts of the rows with the least id of each.
 
     Rows of repeated ids, and of none, are told apart by their node.
     """
@@ -240,7 +240,15 @@ def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, policy: JoinPoli
             )
 
     again = chosen.select("text").mapInArrow(read, "node long, grams array<long>")
-    return again.join(nodes, "node").groupBy("node").agg(F.first("grams").alias("grams"))
+    whole = again.join(nodes, "node").groupBy("node").agg(F.first("grams").alias("grams"))
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.asarray(g.values).view(np.uint64) for g in batch["grams"]]
+            columns = [batch["node"], pa.array(map(len, sets), pa.int64()), batch["grams"], pa.array(map(fold, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "grams", "folded"])
+
+    return whole.mapInArrow(folded, "node long, size long, grams array<long>, folded binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -253,27 +261,31 @@ def overlap(a: np.ndarray, b: np.ndarray, least: int) -> int:
 class Incidence:
     """Document by n-gram incidence of a block of documents, by rows and by columns, the rarest columns first."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray | None = None):
+        held = np.array([len(s) for s in sets], np.int64)
+        self.sizes = held if sizes is None else sizes
+        self._lost = self.sizes - held
         _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         order = np.argsort(often, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         column = rank[column]
-        row = np.repeat(np.arange(len(sets)), self.sizes)
+        row = np.repeat(np.arange(len(sets)), held)
         by_row, by_column = np.lexsort((column, row)), np.lexsort((row, column))
         self._columns, self._rows = column[by_row], row[by_column]
-        self._row_ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        self._row_ends = np.concatenate([[0], np.cumsum(held)])
         self._column_ends = np.concatenate([[0], np.cumsum(often[order])])
 
     def linked(self, i: int, open_: np.ndarray, percent: int, width: int = 128) -> np.ndarray:
         """The rows of the mask `open_` that link with row i.
 
         Row i times the incidence goes over blocks of `width` of its columns. After each, rows are left
-        out whose overlap can't reach the bound of their sizes with the columns still to come.
+        out whose overlap can't reach the bound of their sizes with the columns still to come. Of
+        folded sets, which may have lost members, those are found that may link.
         """
-        need = least_overlap(percent, int(self.sizes[i]), self.sizes)
-        alive = open_ & (np.minimum(self.sizes, self.sizes[i]) >= need)
+        least = least_overlap(percent, int(self.sizes[i]), self.sizes)
+        alive = open_ & (np.minimum(self.sizes, self.sizes[i]) >= least)
+        need = least - np.minimum(self._lost, self._lost[i])
         own = self._columns[self._row_ends[i] : self._row_ends[i + 1]]
         count = np.zeros(len(self.sizes), np.int64)
         for at in range(0, len(own), width):
@@ -290,13 +302,17 @@ class Incidence:
 def block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links (a, b) between documents of a block that may still join two components.
 
-    `group` has node, linked and near (to the key's representative), label and grams. Documents
-    apart from the representative meet each other, and the linked ones if they are near it. Pairs
-    within a component are left out, also those that a new link joins.
+    `group` has node, linked and near (to the key's representative), label, and grams or, with size,
+    folded sets. Documents apart from the representative meet each other, and the linked ones if they
+    are near it. Pairs within a component are left out, also those that a new link joins.
     """
+    if "folded" in group:
+        block = Incidence([np.frombuffer(f, "<u2") for f in group["folded"]], group["size"].to_numpy())
+    else:
+        block = Incidence(group["grams"].tolist())
     node, label = group["node"].to_numpy(), group["label"].to_numpy().copy()
     linked, near = group["linked"].to_numpy(bool), group["near"].to_numpy(bool)
-    block, found = Incidence(group["grams"].tolist()), []
+    found = []
     for i in np.flatnonzero(~linked):
         others = (label != label[i]) & (~linked | near[i])
         others[: i + 1] &= linked[: i + 1]
@@ -307,6 +323,11 @@ def block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
+def fold(grams: np.ndarray) -> bytes:
+    """A set by the last 16 bits of its members. Two sets have at most as many more members in common than folds as one lost."""
+    return np.unique((grams & np.uint64(0xFFFF)).astype("<u2")).tobytes()
+
+
 def _open_blocks(met: DataFrame, tested: DataFrame, labels: DataFrame, sets: DataFrame, policy: JoinPolicy) -> DataFrame:
     """Documents in pairs of row blocks, of the keys where a link may still join two components.
 
@@ -333,7 +354,7 @@ def _open_blocks(met: DataFrame, tested: DataFrame, labels: DataFrame, sets: Dat
         "members",
     )
     blocks = (
-        members.join(sets.select("node", F.size("grams").alias("_n")), "node")
+        members.join(sets.select("node", F.col("size").alias("_n")), "node")
         .groupBy("key")
         .agg(
             F.min("label").alias("_low"),
@@ -355,10 +376,39 @@ def _open_blocks(met: DataFrame, tested: DataFrame, labels: DataFrame, sets: Dat
         .withColumn("_block", F.pmod(F.xxhash64("node", "key"), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select("key", F.least("_block", "_other").alias("_first"), F.greatest("_block", "_other").alias("_second"), "node", "linked", "near", "label")
-        .join(sets, "node")
     )
 
 
+def _links_in(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """block_links of every pair of row blocks (key, _first, _second), with what `sets` holds of each node."""
+    block = ["key", "_first", "_second"]
+
+    def links(at: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        found = block_links(group.drop_duplicates("node").sort_values("node", ignore_index=True), percent)
+        return found.assign(**dict(zip(block, at)))[[*block, "a", "b"]]
+
+    return dealt.join(sets, "node").groupBy(*block).applyInPandas(links, "key long, _first int, _second int, a long, b long")
+
+
+def more_links(dealt: DataFrame, sets: DataFrame, compared, policy: JoinPolicy) -> DataFrame:
+    """Links within blocks of rows: found on folded sets, a quarter of the bytes, then compared on whole ones.
+
+    A block with a pair that whole sets don't confirm is done again with whole sets, as other pairs
+    were left out for it.
+    """
+    found = saved(_links_in(dealt, sets.select("node", "size", "folded"), policy.percent), "found")
+    again = compared(found.select(F.col("a").alias("node"), F.col("b").alias("rep")).distinct())
+    sure = saved(again.select(F.col("node").alias("a"), F.col("rep").alias("b"), "linked"), "sure")
+    links = sure.where("linked").select("a", "b")
+    wrong = found.join(sure.where("not linked"), ["a", "b"]).select("key", "_first", "_second").distinct()
+    if not sure.where("not linked").isEmpty():
+        whole = dealt.join(wrong, ["key", "_first", "_second"])
+        links = links.unionByName(_links_in(whole, sets.select("node", "grams"), policy.percent).select("a", "b"))
+    stored = saved(links, "links")
+    forget(found, sure)
+    return stored
+
+
 def join_documents(docs: DataFrame, policy: JoinPolicy = JoinPolicy()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text and any other columns).
 
@@ -370,8 +420,9 @@ def join_documents(docs: DataFrame, policy: JoinPolicy = JoinPolicy()) -> DataFr
     empty table gives an empty result.
     """
     sketches = saved(sketch_sets(docs, policy), "sketches")
-    rows = sketches.select("doc_id", "node", "size")
     met = saved(meetings(sketches, policy), "met")
+    rows = saved(sketches.select("doc_id", "node", "size"), "rows")
+    forget(sketches)
     pairs = saved(met.select("node", "rep").distinct(), "pairs")
     needed = pairs.select("node").unionByName(pairs.select(F.col("rep").alias("node"))).distinct()
     sets = saved(sets_of(docs, rows, needed, policy), "sets")
@@ -388,20 +439,17 @@ def join_documents(docs: DataFrame, policy: JoinPolicy = JoinPolicy()) -> DataFr
                 near.append(both * (100 + far) >= far * total)
             yield pd.DataFrame({"node": batch["node"], "rep": batch["rep"], "linked": linked, "near": near})
 
-    tested = saved(
-        pairs.join(sets.select(F.col("node").alias("rep"), F.col("grams").alias("_grams")), "rep")
-        .join(sets, "node")
-        .mapInPandas(compare, "node long, rep long, linked boolean, near boolean"),
-        "tested",
-    )
+    def compared(some: DataFrame) -> DataFrame:
+        whole = sets.select("node", "grams")
+        both = some.join(whole.select(F.col("node").alias("rep"), F.col("grams").alias("_grams")), "rep").join(whole, "node")
+        return both.mapInPandas(compare, "node long, rep long, linked boolean, near boolean")
+
+    tested = saved(compared(pairs), "tested")
     links = tested.where("linked").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     labels = components(links)
 
-    def rest(group: pd.DataFrame) -> pd.DataFrame:
-        return block_links(group.drop_duplicates("node").sort_values("node", ignore_index=True), percent)
-
-    dealt = _open_blocks(met, tested, labels, sets, policy)
-    more = saved(dealt.groupBy("key", "_first", "_second").applyInPandas(rest, "a long, b long"), "links")
+    dealt = saved(_open_blocks(met, tested, labels, sets, policy), "dealt")
+    more = more_links(dealt, sets, compared, policy)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     lowest = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_rows"))
@@ -410,7 +458,7 @@ def join_documents(docs: DataFrame, policy: JoinPolicy = JoinPolicy()) -> DataFr
     joined = named.where("label is not null")
     least = joined.groupBy("label").agg(F.min("_id").alias("component_id"))
     of_node = saved(apart.unionByName(joined.join(least, "label").select("node", "component_id")).withColumn("_in", F.lit(True)), "components")
-    forget(met, pairs, sets, tested, more)
+    forget(met, pairs, sets, tested, dealt, more)
     return rows.join(of_node, "node", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

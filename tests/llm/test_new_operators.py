@@ -196,6 +196,29 @@ def test_product_of_blocks_counts_overlaps(width):
         assert block.linked(i, np.arange(40) != i, 85, width).tolist() == expected
 
 
+def test_folded_sets_lose_no_link():
+    """Folds of many members collide; whatever they lose, sets that link are found."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[: 20_000 - k], rng.integers(0, 1 << 64, k, dtype=np.uint64)]) for k in (0, 1500, 1620, 1700, 6000)]
+    block = ngram_join.Incidence([np.frombuffer(ngram_join.fold(s), "<u2") for s in sets], np.array([len(s) for s in sets]))
+    exact = ngram_join.Incidence(sets)
+    for i in range(5):
+        assert set(exact.linked(i, np.arange(5) != i, 85)) <= set(block.linked(i, np.arange(5) != i, 85))
+    group = pd.DataFrame({"node": range(5), "linked": False, "near": False, "label": range(5), "grams": [s.view(np.int64) for s in sets]})
+    assert sorted(ngram_join.block_links(group, 85).itertuples(index=False, name=None)) == [(0, 1), (0, 2)]
+
+
+def test_join_with_folds_that_mislead(spark, monkeypatch):
+    """With almost nothing left of the folded sets, blocks are done again with whole ones."""
+    monkeypatch.setattr(ngram_join, "fold", lambda grams: np.unique((grams & np.uint64(3)).astype("<u2")).tobytes())
+    rows = near_texts(4, 60)
+    found = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.JoinPolicy(block_rows=20)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute_join(rows)
+
+
 def test_join_edges(spark):
     rows = [
         (1, None), (2, ""), (3, " \n\t"), (4, "word " * 30_000), (5, "x" * 200_000), (6, "Same text HERE for two rows of it"), (6, "same text here for two rows of it"),
