@@ -195,12 +195,15 @@ def train_language(texts: Sequence[str], langs: Sequence[str], policy: LanguageP
 def language_sample(docs: DataFrame, policy: LanguagePolicy) -> tuple[list[str], list[str]]:
     """Texts and languages outside the held-out fold; ids are drawn per language by a hash of the id.
 
-    One pass counts languages, one draws the ids, and one reads the texts drawn.
+    One pass counts languages, one draws the ids, and one reads the texts drawn. Of an id on several rows
+    the first language and the first text count, by comparison, so reruns agree and the driver gets a row an id.
     """
     spark = docs.sparkSession
     fold = docs.select(F.col("doc_id").cast("long"), "lang").where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.pmod(doc_crc(F.col("doc_id")), F.lit(4)) != 2)
     )
+    # One row an id; an id on rows of several languages has the first by name.
+    fold = fold.groupBy("doc_id").agg(F.min("lang").alias("lang"))
     frequent = fold.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(policy.max_languages)
     # Twice as many as wanted pass by the size of the hash, so that a frequent language is no large group.
     draw, all_draws = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)), 1 << 40
@@ -217,9 +220,9 @@ def language_sample(docs: DataFrame, policy: LanguagePolicy) -> tuple[list[str],
         docs.select(F.col("doc_id").cast("long"), spread(F.col("text"), policy.max_chars).alias("text"))
         .where(F.col("text").isNotNull())
         .join(sample, "doc_id")
-        .select("doc_id", "text", "_lang")
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.min("_lang").alias("_lang"))
         .toPandas()
-        .drop_duplicates("doc_id")
         .sort_values("doc_id")
         .sample(frac=1.0, random_state=11)
     )

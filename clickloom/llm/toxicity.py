@@ -146,7 +146,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, policy: ToxicityPolicy)
     """Toxic and ordinary texts outside the held-out fold, at most as many as the policy says.
 
     Ids are taken in the order of a hash of the id; only their texts are read. A document with
-    several labels counts as toxic if one says so; null ids, labels and texts are left out.
+    several labels counts as toxic if one says so; null ids, labels and texts are left out. Of an id on
+    several rows the first text counts, by comparison, so reruns agree and the driver gets a row an id.
     """
     spark = docs.sparkSession
     known = (
@@ -167,9 +168,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, policy: ToxicityPolicy)
         docs.select(F.col("doc_id").cast("long"), spread(F.col("text"), policy.max_chars).alias("text"))
         .where(F.col("text").isNotNull())
         .join(sample, "doc_id")
-        .select("doc_id", "text", "toxic")
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
         .toPandas()
-        .drop_duplicates("doc_id")
         .sort_values("doc_id")
         .sample(frac=1.0, random_state=7)
     )

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.llm import filter_audit, ngram_join, queries, vector_codes
+from clickloom.llm import filter_audit, language, ngram_join, queries, toxicity, vector_codes
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, lang string, text string"
@@ -317,3 +317,25 @@ def test_audit_of_nothing(spark):
     assert filter_audit.op13_filter_audit(docs, labels).count() == 0
     one = filter_audit.op13_filter_audit(spark.createDataFrame([(1, "en", None)], DOCS), labels).collect()
     assert len(one) == 600 and {r.kept for r in one if r.step == 5} == {0}
+
+
+# 6, 7 samples
+
+
+def test_samples_have_a_row_per_id(spark, monkeypatch):
+    """One id on 3,000 rows of two languages: one row of it reaches the driver, the same in any order of rows."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    received, whole = [], DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: received.append(whole(self)) or received[-1])
+    rows = [(4, "de" if i % 2 else "en", f"text number {i:04d} of the one id") for i in range(3000)] + [(i, "fr", f"un texte {i}") for i in range(100, 160)]
+    labels = spark.createDataFrame([(4, 1), (4, 0)] + [(i, i % 2) for i in range(100, 160)], "doc_id long, toxic int")
+    found = []
+    for order in (F.col("text").asc(), F.col("text").desc()):
+        docs = spark.createDataFrame(rows, DOCS).orderBy(order)
+        found.append((language.language_sample(docs, language.LanguagePolicy()), toxicity.labelled_sample(docs, labels, toxicity.ToxicityPolicy())))
+    assert found[0] == found[1]
+    assert len(received) == 4 and all(0 < len(r) <= 61 and r["doc_id"].is_unique for r in received)
+    texts, langs = found[0][0]
+    if "text number 0000 of the one id" in texts:
+        assert langs[texts.index("text number 0000 of the one id")] == "de"
