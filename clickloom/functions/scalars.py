@@ -23,9 +23,9 @@ def parse_event_time(text: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """A double, or null for text that isn't a number and for NaN."""
+    """A double, or null for text that isn't a number, for NaN, and for numbers with a type's letter (1d, 1f)."""
     number = text.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.when(~F.isnan(number) & ~text.cast("string").rlike(r"[0-9.]\s*[dDfF]\s*$"), number)
 
 
 def or_missing(value: Column) -> Column:
@@ -55,9 +55,16 @@ def top_level_category(code: Column) -> Column:
     return F.when(code.isNull() | code.isin("", "nan"), MISSING).otherwise(F.coalesce(F.nullif(F.split_part(code, F.lit("."), F.lit(1)), F.lit("")), F.lit(MISSING)))
 
 
+def micros_between(start: Column, end: Column) -> Column:
+    """Microseconds from start to end as a long, for zone-free times in any session zone."""
+    gap = end - start
+    whole = [F.extract(F.lit(unit), gap).cast("long") * F.lit(size) for unit, size in (("DAY", 86_400_000_000), ("HOUR", 3_600_000_000), ("MINUTE", 60_000_000))]
+    return sum(whole, (F.extract(F.lit("SECOND"), gap) * F.lit(1_000_000)).cast("long"))
+
+
 def minutes_between(start: Column, end: Column) -> Column:
     """Minutes from start to end as a double; null if either is."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(60000000.0)
+    return micros_between(start, end) / F.lit(60000000.0)
 
 
 def fixed6(value: Column) -> Column:

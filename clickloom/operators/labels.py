@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from clickloom.functions.scalars import iso_time, minutes_between
+from clickloom.functions.scalars import iso_time, micros_between, minutes_between
 from clickloom.policies import LabelingPolicy
 
 
@@ -51,7 +51,7 @@ def prefix_labels(events: DataFrame, policy: LabelingPolicy = LabelingPolicy())
     framed = (
         valid_events(events)
         .withColumn("_type", types)
-        .withColumn("_at", F.unix_micros(F.col("event_time").cast("timestamp")))
+        .withColumn("_at", micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("event_time")))
         .withColumn("session_position", F.row_number().over(Window.partitionBy("user_session").orderBy("event_time", "source_order")))
         .withColumn("_prefix", prefix)
         .withColumn("first_purchase", first_purchase_time())

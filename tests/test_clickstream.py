@@ -267,3 +267,21 @@ def test_rows_of_several_files_are_in_order_of_names(spark, tmp_path):
     assert [r.product_id for r in rows] == [*range(5), *range(4000)]
     numbered = clickstream.renumbered(clickstream.read_csv(spark, str(tmp_path))).orderBy("source_order").collect()
     assert [r.source_order for r in numbered] == list(range(4005)) and [r.product_id for r in numbered] == [r.product_id for r in rows]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Europe/Berlin"])
+def test_labels_do_not_follow_the_session_zone(spark, zone):
+    """Times around a change of clocks, one of which doesn't exist in New York."""
+    from clickloom.operators.labels import prefix_labels
+    from clickloom.policies import LabelingPolicy
+
+    rows = [(0, "2019-03-10 02:30:00", "view", "a"), (1, "2019-03-10 03:30:00", "purchase", "a"), (2, "2019-03-31 01:59:30", "view", "b"), (3, "2019-03-31 03:00:00", "purchase", "b")]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        events = spark.createDataFrame(rows, "source_order long, event_time string, event_type string, user_session string")
+        events = events.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+        found = {r.user_session: (r.label, r.minutes_until_purchase) for r in prefix_labels(events, LabelingPolicy(prediction_window_minutes=90)).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found == {"a": (1, 60.0), "b": (1, 60.5)}
