@@ -328,13 +328,29 @@ def fold(grams: np.ndarray) -> bytes:
     return np.unique((grams & np.uint64(0xFFFF)).astype("<u2")).tobytes()
 
 
+def _merged(status: DataFrame, tested: DataFrame) -> DataFrame:
+    """`status` (key, node, linked, near), with the keys of one representative as one key where that costs less.
+
+    Groups of copies meet in many keys with much the same documents, and would be compared again in
+    each. One key has every pair of the keys it stands for, so no link is lost. Costs are counted in
+    pairs of documents, with `row` for what a document costs by itself.
+    """
+    row = 64
+    cost = (F.count_if(~F.col("linked")) + row) * F.count(F.lit(1))
+    apart = status.groupBy("key").agg(F.min("rep").alias("rep"), cost.alias("_cost")).groupBy("rep").agg(F.sum("_cost").alias("_apart"))
+    merged = tested.groupBy("rep").agg(cost.alias("_merged")).join(apart, "rep").where("_merged <= _apart").select("rep", F.lit(True).alias("_one"))
+    columns = ["key", "node", "linked", "near"]
+    own = status.join(merged, "rep", "left").where("_one is null").select(*columns)
+    return own.unionByName(tested.join(merged, "rep").withColumn("key", F.xxhash64("rep", F.lit("rep"))).select(*columns))
+
+
 def _open_blocks(met: DataFrame, tested: DataFrame, labels: DataFrame, sets: DataFrame, policy: JoinPolicy) -> DataFrame:
     """Documents in pairs of row blocks, of the keys where a link may still join two components.
 
     Of keys with the same documents one is taken. A key with many documents is dealt into row
     blocks, every two of which meet.
     """
-    status = met.join(tested, ["node", "rep"])
+    status = _merged(met.join(tested, ["node", "rep"]), tested)
     keys = (
         status.groupBy("key")
         .agg(
