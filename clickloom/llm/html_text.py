@@ -47,8 +47,10 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 #: How deep the tree may be; what is deeper stands in the element at this depth.
 _DEPTH = 500
-_UNSEEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.IGNORECASE)
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.IGNORECASE)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.IGNORECASE)
+#: A table isn't aligned if that makes it longer than 4096 characters and than so many times its visible ones.
+_PADDING = 32
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -56,12 +58,13 @@ class Node:
     """An element with its children: nodes and strings.
 
     A hidden one isn't rendered at all; one without `seen` keeps its place, and its own text is left out.
+    Of a closed one only the summary is shown.
     """
 
-    __slots__ = ("name", "children", "hidden", "seen", "start", "spans")
+    __slots__ = ("name", "children", "hidden", "seen", "start", "spans", "closed")
 
     def __init__(self, name: str, hidden: bool = False, start: int = 1, seen: bool = True, spans: tuple[int, int] = (1, 1)):
-        self.name, self.hidden, self.start, self.seen, self.spans, self.children = name, hidden, start, seen, spans, []
+        self.name, self.hidden, self.start, self.seen, self.spans, self.children, self.closed = name, hidden, start, seen, spans, [], False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -109,9 +112,8 @@ def build_tree(source: str) -> Node:
                 if not any(count[n] for n in names if n != "p"):
                     return
 
-    for match in _TAG.finditer(source):
-        if match.start() < at:
-            continue
+    # Each search starts where the last tag or raw element ended: what looks like a tag inside a raw element is its text.
+    while match := _TAG.search(source, at):
         if match.start() > at:
             add(source[at : match.start()])
         at = match.end()
@@ -156,6 +158,7 @@ def build_tree(source: str) -> Node:
         node = Node(
             name, hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, shown[-1].lower() == "visible" if shown else stack[-1].seen, spans
         )
+        node.closed = name == "details" and "open" not in attributes
         place(node)
         if foreign and match[3].endswith("/"):
             continue
@@ -264,7 +267,11 @@ def _grid(table: Node) -> list[list[list[str]]]:
 
 
 def _table(node: Node, out: _Lines) -> None:
-    """Cells of a row share lines, each column as wide as its widest cell. What is outside of rows comes before."""
+    """Cells of a row share lines, each column as wide as its widest cell. What is outside of rows comes before.
+
+    Columns without any text take no room. A table that alignment would blow up (_PADDING) has its
+    cells two spaces apart instead, so what comes out is bounded by a multiple of the text in it.
+    """
     _render(list(_outside_rows(node)), out)
     out.end()
     grid = _grid(node)
@@ -272,15 +279,22 @@ def _table(node: Node, out: _Lines) -> None:
         stray = [c for c in row.children if not (isinstance(c, Node) and c.name in ("td", "th")) and not (isinstance(c, str) and not c.strip())]
         if stray:
             out.block(_render(stray))
-    widths = [max((len(line) for row in grid if len(row) > i for line in row[i]), default=0) for i in range(max(map(len, grid), default=0))]
+    widths: dict[int, int] = {}
+    height = visible = 0
     for row in grid:
-        height = max((len(cell) for cell in row), default=0)
-        out.block(
-            [
-                "  ".join((cell[i] if i < len(cell) else "").ljust(width) for cell, width in zip(row, widths)).rstrip()
-                for i in range(height)
-            ]
-        )
+        height += max(map(len, row), default=0)
+        for i, cell in enumerate(row):
+            if cell:
+                widths[i] = max(widths.get(i, 0), *map(len, cell))
+                visible += sum(len(line) - line.count(" ") for line in cell)
+    columns = sorted(i for i, width in widths.items() if width)
+    padded = height * sum(widths[i] + 2 for i in columns)
+    aligned = padded <= max(4096, _PADDING * visible)
+    for row in grid:
+        cells = [(row[i] if i < len(row) else [], widths[i]) for i in columns] if aligned else [(cell, 0) for cell in row if cell]
+        lines = range(max((len(cell) for cell, _ in cells), default=0))
+        parts = ([(cell[i] if i < len(cell) else "", width) for cell, width in cells] for i in lines)
+        out.block(["  ".join(text.ljust(width) for text, width in line if aligned or text).rstrip() for line in parts])
 
 
 def _render(children: list, out: _Lines | None = None, keep: bool = False) -> list[str]:
@@ -326,7 +340,8 @@ def _render(children: list, out: _Lines | None = None, keep: bool = False) -> li
                 _render([part], out, keep)
         elif name in BLOCK or name in ("textarea", "text"):
             out.gap() if name in SPACED else out.end()
-            _render(child.children, out, keep or name in ("pre", "textarea"))
+            shown = [c for c in child.children if isinstance(c, Node) and c.name == "summary"] if child.closed else child.children
+            _render(shown, out, keep or name in ("pre", "textarea"))
             out.gap() if name in SPACED else out.end()
         else:
             _render(child.children, out, keep)

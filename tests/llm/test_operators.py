@@ -104,6 +104,31 @@ def test_html_spans_and_visibility(source, lines):
     assert html_text.page_text(source).split("\n") == lines
 
 
+@pytest.mark.parametrize(
+    "source, words_",
+    [
+        ("<script><!-- x </script><p>Hello <b>bold</b></p>", "Hello bold"),
+        ("<style><!-- p{} </style><p>Hello <b>bold</b></p><!-- no --><i>end</i>", "Hello bold end"),
+        ("<script>for(i=0;i<n;i++){s=\"<a href='\"+x}</script><p>It's <b>bold</b></p>", "It's bold"),
+        ("<textarea>a <b c='</textarea>d <i>e</i> it's", "a <b c=' d e it's"),
+        ("<details><summary>more</summary>no<p>no</p></details><details open><summary>s</summary>yes</details>", "more s yes"),
+        ("<p style=\"background:url('display:none')\">yes</p><p style='color:red; DISPLAY : none'>no</p>", "yes"),
+    ],
+)
+def test_html_raw_elements_and_hidden_parts(source, words_):
+    assert html_text.page_text(source).split() == words_.split()
+
+
+def test_html_tables_stay_bounded():
+    wide = "<table><tr><td>" + "w" * 20_000 + "<td>end" + "<tr><td>a<td>b" * 5000 + "</table>"
+    text = html_text.page_text(wide)
+    assert len(text) < 2 * len(wide) and text.split() == ["w" * 20_000, "end", *["a", "b"] * 5000]
+    spanned = "<table>" + "<tr><td colspan=1000>x<td>y" * 500 + "</table>"
+    assert html_text.page_text(spanned).split("\n") == ["x  y"] * 500
+    many = "<table><tr>" + ("<td>" + "c" * 100) * 1000 + "<tr><td colspan=999>l<td>r" * 2000 + "</table>"
+    assert len(html_text.page_text(many)) < 40 * len(many)
+
+
 @pytest.mark.parametrize("part", ["<a b", '<a b="', "<a b='\"", "<", "<!", "<b x=<b x='<b"])
 def test_html_unclosed_tags_take_linear_time(part):
     import time
