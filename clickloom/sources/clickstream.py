@@ -22,12 +22,20 @@ NULL_TEXTS = ("", "NA", "N/A", "n/a", "null", "NULL", "NaN", "nan", "None", "<NA
 _IDS = ("product_id", "category_id", "user_id")
 
 
+def _bytes(text: str) -> int:
+    """A size setting of Spark (134217728b, 64m, 1g, 0) in bytes."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-zA-Z]*)\s*", text).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit.lower()[:1]]
+
+
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with header as text columns and source_order; null texts become null.
 
     Columns are taken by name, absent ones are null and further ones are left out. source_order
     rises with the file's name, then with the place in it: 15 bits of the file, 18 of the part of
-    the file that is read at once (parts begin at least 4 MB apart) and 30 of the row.
+    the file that is read at once and 30 of the row. Parts begin at least as far apart as the session's
+    file settings say (4 MB by default); with settings below 1 MB they are counted in a pass of their
+    own. A file of more than 2^18 parts (1 TB by default) is an error.
     """
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
     files = sorted(raw.inputFiles())
@@ -35,10 +43,18 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{len(files)} files: read at most {1 << 15} at once, or merge small ones first")
     # The two listings may write file:/ and file:/// for the same file.
     known = spark.createDataFrame([(re.sub("^([a-z0-9]+):/+", r"\1:/", name), i) for i, name in enumerate(files)], "_path string, _file long")
-    apart = min(1 << 22, int(spark.conf.get("spark.sql.files.openCostInBytes").removesuffix("b")), int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b")))
+    apart = min(1 << 22, *(_bytes(spark.conf.get(f"spark.sql.files.{name}")) for name in ("openCostInBytes", "maxPartitionBytes")))
     row = F.monotonically_increasing_id().bitwiseAND((1 << 30) - 1)
-    part = F.floor(F.col("_metadata.file_block_start") / apart)
-    raw = raw.select("*", F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/").alias("_path"), part.alias("_part"), row.alias("_at")).join(F.broadcast(known), "_path")
+    begin = F.col("_metadata.file_block_start")
+    path_of = F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/").alias("_path")
+    raw = raw.select("*", path_of, begin.alias("_begin"), row.alias("_at"))
+    if apart >= 1 << 20:
+        raw = raw.withColumn("_part", F.floor(F.col("_begin") / apart))
+    else:
+        ranked = F.row_number().over(Window.partitionBy("_path").orderBy("_begin")) - 1
+        raw = raw.join(raw.select("_path", "_begin").distinct().withColumn("_part", ranked.cast("long")), ["_path", "_begin"])
+    too_long = F.raise_error(F.concat(F.lit("too long to be read in order, split it: "), F.col("_path")))
+    raw = raw.withColumn("_part", F.when(F.col("_part") < 1 << 18, F.col("_part")).otherwise(too_long)).join(F.broadcast(known), "_path")
     order = F.shiftleft(F.col("_file"), 48) + F.shiftleft(F.col("_part"), 30) + F.col("_at")
     columns = [
         (F.when(F.col(c).isin(*NULL_TEXTS), None).otherwise(F.col(c)) if c in raw.columns else F.lit(None).cast("string")).alias(c)

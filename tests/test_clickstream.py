@@ -285,3 +285,20 @@ def test_labels_do_not_follow_the_session_zone(spark, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert found == {"a": (1, 60.0), "b": (1, 60.5)}
+
+
+@pytest.mark.parametrize("most, cost", [("64m", "4194304"), ("134217728b", "0"), ("20k", "0"), ("30000", "1kb")])
+def test_csv_order_under_any_file_settings(spark, tmp_path, most, cost):
+    head = "event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session"
+    for name, n in (("b", 3000), ("a", 2)):
+        (tmp_path / f"{name}.csv").write_text("\n".join([head, *(f"2019-10-01 00:00:00 UTC,view,{i},1,c,b,1.5,7,s" for i in range(n))]) + "\n")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, value in zip(names, (most, cost)):
+            spark.conf.set(n, value)
+        rows = clickstream.read_csv(spark, str(tmp_path)).orderBy("source_order").collect()
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+    assert len({r.source_order for r in rows}) == 3002 and [r.product_id for r in rows] == [0, 1, *range(3000)]
