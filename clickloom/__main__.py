@@ -29,7 +29,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser.add_argument("--max-samples-per-split", type=int)
     parser.add_argument("--train-ratio", type=float, default=0.70)
     parser.add_argument("--validation-ratio", type=float, default=0.15)
-    parser.add_argument("--models", nargs="+", default=["logistic_regression", "gbt"], choices=["logistic_regression", "gbt"])
+    parser.add_argument("--models", nargs="+", default=["logistic_regression", "gbt"], choices=["logistic_regression", "gbt", "leafwise"])
     parser.add_argument("--trees", type=int, default=200)
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("clickloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.operators.boosting import LeafwisePolicy, fit_leafwise
 from clickloom.operators.features import CATEGORICAL_INPUTS, NUMERIC_INPUTS
 from clickloom.operators.metrics import evaluate
 from clickloom.policies import MISSING, SPLITS, BaselinePolicy
@@ -75,8 +76,16 @@ def fit_trees(train: DataFrame, policy: BaselinePolicy):
     ).fit(train)
 
 
+def fit_leaves(train: DataFrame, strategy: str, policy: BaselinePolicy):
+    """Trees grown leaf by leaf; `balanced` weighs positives by the ratio of negatives to them."""
+    settings = LeafwisePolicy(trees=policy.trees, learning_rate=policy.learning_rate, subsample=policy.subsample, column_share=policy.column_share, seed=policy.seed)
+    return fit_leafwise(train.select("sample_id", "label", vector_to_array("_x").alias("x")), strategy == "balanced", settings)
+
+
 def scored(model, samples: DataFrame) -> DataFrame:
     """sample_id, split, label, score."""
+    if hasattr(model, "split_counts"):
+        return samples.select("sample_id", "split", "label", model.score(vector_to_array("_x")).alias("score"))
     return model.transform(samples).select("sample_id", "split", "label", vector_to_array("probability")[1].alias("score"))
 
 
@@ -85,6 +94,7 @@ def train_baselines(
 ) -> tuple[DataFrame, DataFrame]:
     """Metrics per model, strategy and split, and ranked feature importance.
 
+    Models are logistic_regression, gbt (Spark's level-wise trees) and leafwise.
     A training split of one class is skipped with a status row. Metrics have the columns of
     comparison.COLUMNS.
     """
@@ -101,11 +111,17 @@ def train_baselines(
                 kind = "split string, sample_count long, positive_count long, pr_auc double, roc_auc double, f1 double, recall_at_k double, precision_at_k double"
                 rows, status = spark.createDataFrame(skipped, kind), "skipped_single_class"
             else:
-                model = fit_logistic(train, total, policy) if name == "logistic_regression" else fit_trees(train, policy)
+                if name == "logistic_regression":
+                    model = fit_logistic(train, total, policy)
+                    values, kind = model.coefficients.toArray(), "coefficient"
+                elif name == "leafwise":
+                    model = fit_leaves(train, strategy, policy)
+                    values, kind = model.split_counts, "split_count"
+                else:
+                    model = fit_trees(train, policy)
+                    values, kind = model.featureImportances.toArray(), "gain"
                 rows, status = evaluate(scored(model, ready), policy.threshold, policy.top_k_fraction), "evaluated"
-                values = model.coefficients if name == "logistic_regression" else model.featureImportances
-                kind = "coefficient" if name == "logistic_regression" else "gain"
-                ranked = sorted(zip(fitted.names, map(float, values.toArray())), key=lambda x: -abs(x[1]))
+                ranked = sorted(zip(fitted.names, map(float, values)), key=lambda x: -abs(x[1]))
                 importance += [(name, strategy, f, v, kind, i + 1) for i, (f, v) in enumerate(ranked)]
             named = {"model_name": name, "class_imbalance_strategy": strategy, "threshold": policy.threshold, "top_k_fraction": policy.top_k_fraction, "status": status}
             metrics.append(rows.withColumns({column: F.lit(value) for column, value in named.items()}))
