@@ -48,7 +48,7 @@ QUERIES = {
     "status_counts": lambda spark, d: comparison.status_counts(_metrics(spark, d)),
     "logistic_baseline": lambda spark, d: models.train_baselines(_built(spark, d), _POLICY, ("logistic_regression",))[0],
     "gbt_baseline": lambda spark, d: models.train_baselines(_built(spark, d), BaselinePolicy(strategies=("none",), trees=5), ("gbt",))[0],
-    "leafwise_boosting": lambda spark, d: models.train_baselines(_built(spark, d), BaselinePolicy(strategies=("none",), trees=20), ("leafwise",))[0],
+    "leafwise_boosting": lambda spark, d: models.train_baselines(_built(spark, d), BaselinePolicy(strategies=("none",), trees=5), ("leafwise",))[0],
     "feature_importance": _importance,
 }
 
