@@ -73,3 +73,20 @@ def test_reruns_agree_and_scores_separate(spark):
     assert p[y == 1].mean() - p[y == 0].mean() > 0.2
     with pytest.raises(ValueError):
         b.fit_leafwise(df.where("label = 1"))
+
+
+def test_rows_are_stored_in_blocks_and_the_smaller_child_is_counted(spark, monkeypatch):
+    x, y = rows_of(2000)
+    stored, asked = [], []
+    keep, count = b._stored, b.histograms
+
+    def histograms(rows, done, tree, wanted, *rest):
+        asked.append((list(tree.left), list(wanted), count(rows, done, tree, wanted, *rest)))
+        return asked[-1][2]
+
+    monkeypatch.setattr(b, "_stored", lambda rows: stored.append(keep(rows)) or stored[-1])
+    monkeypatch.setattr(b, "histograms", histograms)
+    b.fit_leafwise(frame(spark, x, y), policy=b.LeafwisePolicy(trees=1, leaves=6, subsample=1.0, column_share=1.0))
+    assert stored[0].count() == 3
+    assert asked[0][2][0, 0, :, 2].sum() == 2000
+    assert all(hist[0, :, 2].sum() <= 1000 for _, _, found in asked[1:] for hist in found)
