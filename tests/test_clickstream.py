@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -302,3 +303,29 @@ def test_csv_order_under_any_file_settings(spark, tmp_path, most, cost):
         for n, value in zip(names, before):
             spark.conf.set(n, value)
     assert len({r.source_order for r in rows}) == 3002 and [r.product_id for r in rows] == [0, 1, *range(3000)]
+
+
+def test_medians_of_training_are_exact_without_a_buffer_a_column(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), int(b), None, None if i % 3 else float(c), 7.5) for i, (a, b, c) in enumerate(zip(rng.normal(size=5000), rng.integers(0, 4, 5000), rng.normal(size=5000)))]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double, e double").repartition(5)
+    for n in (5000, 1, 2, 7):
+        some = df.limit(n).persist()
+        for margin in (5e-4, 0.0):
+            found = models.exact_medians(some, "abcde", margin)
+            values = {c: [getattr(r, c) for r in some.collect() if getattr(r, c) is not None] for c in "abcde"}
+            assert found == {c: float(np.median(v)) if v else None for c, v in values.items()}
+    assert models.exact_medians(df.limit(0), "a") == {"a": None}
+
+
+def test_strategies_are_evaluated_in_one_plan(spark, monkeypatch):
+    from clickloom.sources.clickstream import clickstream as table
+
+    calls, evaluate = [], models.evaluate
+    monkeypatch.setattr(models, "evaluate", lambda *a: calls.append(a) or evaluate(*a))
+    built = features.build_features(table(spark, "/root/testdata/sf0.001"), FeaturePolicy(360))
+    found, _ = models.train_baselines(built, BaselinePolicy(strategies=("none", "balanced"), max_iter=5), ("logistic_regression",))
+    assert len(calls) == 1 and found.count() == 6
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    whole = [line for line in plan.splitlines() if "Window" in line and "score#" in line and "_narrow" not in line]
+    assert not whole
