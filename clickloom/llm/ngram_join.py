@@ -222,14 +222,28 @@ def meetings(sketches: DataFrame, policy: JoinPolicy) -> DataFrame:
     return found.where("node <> rep").select("key", "node", "rep").distinct()
 
 
+def _among(rows: DataFrame, column: str, few: DataFrame) -> DataFrame:
+    """The rows whose `column` may be in `few` (a stored table of that one column): a broadcast bitmap of hashes, 16 bits a value and 16 MB at most.
+
+    An exact join follows; this only spares it the shuffle of wide rows that have no match.
+    """
+    bits = min(1 << 27, 1 << max(15, (16 * few.count() - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    made = few.select(place(few.columns[0]).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    at = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_p", place(column)).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(made), "_bucket")
+    return found.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select(*rows.columns)
+
+
 def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, policy: JoinPolicy) -> DataFrame:
     """node, size, grams, folded of the given nodes, from the texts of the rows with the least id of each.
 
     Rows of repeated ids, and of none, are told apart by their node.
     """
-    ids = rows.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    ids = saved(rows.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "ids")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    chosen = _among(source, "doc_id", ids).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")))  # ids are distinct; a semi join would be moved below the bitmap
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -413,15 +427,18 @@ def more_links(dealt: DataFrame, sets: DataFrame, compared, policy: JoinPolicy)
     were left out for it.
     """
     found = saved(_links_in(dealt, sets.select("node", "size", "folded"), policy.percent), "found")
-    again = compared(found.select(F.col("a").alias("node"), F.col("b").alias("rep")).distinct())
+    pairs = saved(found.select(F.col("a").alias("node"), F.col("b").alias("rep")).distinct(), "again")
+    ends = saved(pairs.select("node").unionByName(pairs.select(F.col("rep").alias("node"))).distinct(), "ends")
+    again = compared(pairs, _among(sets.select("node", "grams"), "node", ends))
     sure = saved(again.select(F.col("node").alias("a"), F.col("rep").alias("b"), "linked"), "sure")
     links = sure.where("linked").select("a", "b")
     wrong = found.join(sure.where("not linked"), ["a", "b"]).select("key", "_first", "_second").distinct()
     if not sure.where("not linked").isEmpty():
         whole = dealt.join(wrong, ["key", "_first", "_second"])
-        links = links.unionByName(_links_in(whole, sets.select("node", "grams"), policy.percent).select("a", "b"))
+        held = saved(whole.select("node").distinct(), "held")
+        links = links.unionByName(_links_in(whole, _among(sets.select("node", "grams"), "node", held), policy.percent).select("a", "b"))
     stored = saved(links, "links")
-    forget(found, sure)
+    forget(found, sure, pairs, ends)
     return stored
 
 
@@ -455,12 +472,11 @@ def join_documents(docs: DataFrame, policy: JoinPolicy = JoinPolicy()) -> DataFr
                 near.append(both * (100 + far) >= far * total)
             yield pd.DataFrame({"node": batch["node"], "rep": batch["rep"], "linked": linked, "near": near})
 
-    def compared(some: DataFrame) -> DataFrame:
-        whole = sets.select("node", "grams")
+    def compared(some: DataFrame, whole: DataFrame) -> DataFrame:
         both = some.join(whole.select(F.col("node").alias("rep"), F.col("grams").alias("_grams")), "rep").join(whole, "node")
         return both.mapInPandas(compare, "node long, rep long, linked boolean, near boolean")
 
-    tested = saved(compared(pairs), "tested")
+    tested = saved(compared(pairs, sets.select("node", "grams")), "tested")
     links = tested.where("linked").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     labels = components(links)
 

@@ -219,6 +219,14 @@ def test_join_with_folds_that_mislead(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute_join(rows)
 
 
+def test_rows_without_match_are_left_out_before_the_join(spark):
+    rows = spark.range(-3000, 3000).select(F.when(F.col("id") != 5, F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    wanted = [None, *range(-3000, 3000, 40)]
+    few = spark.createDataFrame([(i,) for i in wanted], "_id long")
+    found = [r.doc_id for r in ngram_join._among(rows, "doc_id", few).collect()]
+    assert set(wanted) <= set(found) and len(found) == len(set(found)) < 2 * len(wanted) + 50
+
+
 def test_join_edges(spark):
     rows = [
         (1, None), (2, ""), (3, " \n\t"), (4, "word " * 30_000), (5, "x" * 200_000), (6, "Same text HERE for two rows of it"), (6, "same text here for two rows of it"),
