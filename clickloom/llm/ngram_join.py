@@ -198,6 +198,7 @@ def sketch_sets(docs: DataFrame, policy: JoinPolicy) -> DataFrame:
 def meetings(sketches: DataFrame, policy: JoinPolicy) -> DataFrame:
     """key, node, rep: the sets that have a key in common with others, with the least node of the key; rep itself left out.
 
+    Keys that the same sets have are one, named by a hash of these sets: copies agree in very many blocks.
     Keys go through one shuffle. Those that very many rows have are found on a share of the nodes
     (that decides where they are grouped, not what comes out) and pre-aggregated instead.
     """
@@ -208,17 +209,20 @@ def meetings(sketches: DataFrame, policy: JoinPolicy) -> DataFrame:
     hot = saved(share.groupBy("key").count().where(F.col("count") >= least).select("key"), "hot")
     placed = keys.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "key", "left")
     window = Window.partitionBy("key")
+    mark = F.xxhash64("node")
+    sums = [F.count(mark), F.sum(F.shiftright(mark, 32)), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF)))]
     usual = (
         placed.where("_hot is null")
         .select("key", "node", F.min("node").over(window).alias("rep"), F.max("node").over(window).alias("_other"))
         .where("rep <> _other")
+        .select("node", "rep", F.xxhash64("rep", *(x.over(window) for x in sums)).alias("key"))
     )
     if hot.isEmpty():
         found = usual
     else:
         rows = placed.where("_hot").select("key", "node")
-        reps = rows.groupBy("key").agg(F.min("node").alias("rep"))
-        found = usual.select("key", "node", "rep").unionByName(rows.join(F.broadcast(reps), "key"))
+        reps = rows.groupBy("key").agg(F.min("node").alias("rep"), F.xxhash64(F.min("node"), *sums).alias("_sets"))
+        found = usual.unionByName(rows.join(F.broadcast(reps), "key").select("node", "rep", F.col("_sets").alias("key")))
     return found.where("node <> rep").select("key", "node", "rep").distinct()
 
 
@@ -236,33 +240,38 @@ def _among(rows: DataFrame, column: str, few: DataFrame) -> DataFrame:
     return found.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select(*rows.columns)
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, policy: JoinPolicy) -> DataFrame:
-    """node, size, grams, folded of the given nodes, from the texts of the rows with the least id of each.
+def least_ids(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and _id, the least id of its rows, of the given nodes."""
+    return rows.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_id"))
 
-    Rows of repeated ids, and of none, are told apart by their node.
+
+def sets_of(docs: DataFrame, ids: DataFrame, policy: JoinPolicy, whole: bool) -> DataFrame:
+    """node, size and the set of each node of `ids` (a stored table of least_ids): whole ones as grams, else folded.
+
+    Texts are read where they are stored, those of other ids left out by a bitmap, and only sets are
+    moved. Rows of repeated ids, and of none, are told apart by their node.
     """
-    ids = saved(rows.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "ids")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = _among(source, "doc_id", ids).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")))  # ids are distinct; a semi join would be moved below the bitmap
+    name, kind = ("grams", "array<long>") if whole else ("folded", "binary")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [g for g in (shingles(t, policy.words) for t in batch["text"].to_pylist()) if len(g)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(g) for g in found], pa.int64()), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))],
-                names=["node", "grams"],
-            )
+            sets = pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64())) if whole else pa.array([fold(g) for g in found], pa.binary())
+            columns = [pa.array([node_of(g) for g in found], pa.int64()), pa.array([len(g) for g in found], pa.int64()), sets]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", name])
 
-    again = chosen.select("text").mapInArrow(read, "node long, grams array<long>")
-    whole = again.join(nodes, "node").groupBy("node").agg(F.first("grams").alias("grams"))
+    again = _among(source, "doc_id", ids.select("_id")).select("text").mapInArrow(read, f"node long, size long, {name} {kind}")
+    return again.join(ids.select("node"), "node").groupBy("node").agg(F.first("size").alias("size"), F.first(name).alias(name))
 
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.asarray(g.values).view(np.uint64) for g in batch["grams"]]
-            columns = [batch["node"], pa.array(map(len, sets), pa.int64()), batch["grams"], pa.array(map(fold, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "grams", "folded"])
 
-    return whole.mapInArrow(folded, "node long, size long, grams array<long>, folded binary")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, rep, n, a, m, b: pairs (node, rep) with size and set of both; one shuffle of the sets serves both joins."""
+    name = sets.columns[-1]
+    a, b = sets.alias("a"), sets.alias("b")
+    half = pairs.select(F.col("node").alias("_node"), "rep").join(b, F.col("rep") == F.col("b.node")).select("_node", "rep", F.col("b.size").alias("_m"), F.col(f"b.{name}").alias("_b"))
+    both = half.join(a, F.col("_node") == F.col("a.node"))
+    return both.select(F.col("_node").alias("node"), "rep", F.col("a.size").alias("n"), F.col(f"a.{name}").alias("a"), F.col("_m").alias("m"), F.col("_b").alias("b"))
 
 
 def overlap(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -352,7 +361,7 @@ def _merged(status: DataFrame, tested: DataFrame) -> DataFrame:
     row = 64
     cost = (F.count_if(~F.col("linked")) + row) * F.count(F.lit(1))
     apart = status.groupBy("key").agg(F.min("rep").alias("rep"), cost.alias("_cost")).groupBy("rep").agg(F.sum("_cost").alias("_apart"))
-    merged = tested.groupBy("rep").agg(cost.alias("_merged")).join(apart, "rep").where("_merged <= _apart").select("rep", F.lit(True).alias("_one"))
+    merged = saved(tested.groupBy("rep").agg(cost.alias("_merged")).join(apart, "rep").where("_merged <= _apart").select("rep", F.lit(True).alias("_one")), "merged")
     columns = ["key", "node", "linked", "near"]
     own = status.join(merged, "rep", "left").where("_one is null").select(*columns)
     return own.unionByName(tested.join(merged, "rep").withColumn("key", F.xxhash64("rep", F.lit("rep"))).select(*columns))
@@ -364,7 +373,7 @@ def _open_blocks(met: DataFrame, tested: DataFrame, labels: DataFrame, sets: Dat
     Of keys with the same documents one is taken. A key with many documents is dealt into row
     blocks, every two of which meet.
     """
-    status = _merged(met.join(tested, ["node", "rep"]), tested)
+    status = _merged(saved(met.join(tested, ["node", "rep"]), "status"), tested)
     keys = (
         status.groupBy("key")
         .agg(
@@ -420,25 +429,68 @@ def _links_in(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(sets, "node").groupBy(*block).applyInPandas(links, "key long, _first int, _second int, a long, b long")
 
 
-def more_links(dealt: DataFrame, sets: DataFrame, compared, policy: JoinPolicy) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, rep, linked and near of pairs (node, rep): whether their Jaccard reaches percent, and 2 * percent - 100, hundredths.
+
+    Of folded sets, whether it may: they have at most as many more members in common than folds as one lost.
+    """
+    far = 2 * percent - 100
+
+    if "folded" in sets.columns:
+        members = lambda held: np.frombuffer(held.as_buffer(), "<u2")
+    else:
+        members = lambda held: np.asarray(held.values)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = []
+            sizes = np.asarray(batch["n"]) + np.asarray(batch["m"])
+            least = -(-far * sizes // (100 + far))
+            for n, m, a, b, need in zip(batch["n"].to_pylist(), batch["m"].to_pylist(), batch["a"], batch["b"], least.tolist()):
+                if min(n, m) < need:
+                    both.append(-1)
+                    continue
+                a, b = members(a), members(b)
+                lost = min(n - len(a), m - len(b))
+                both.append(lost + overlap(a, b, need - lost))
+            shared = np.array(both, np.int64)
+            flags = [pa.array(shared * (100 + bound) >= bound * sizes) for bound in (percent, far)]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["rep"], *flags], names=["node", "rep", "linked", "near"])
+
+    return _with_sets(pairs, sets).mapInArrow(compare, "node long, rep long, linked boolean, near boolean")
+
+
+def confirmed(pairs: DataFrame, whole, percent: int) -> DataFrame:
+    """`compared` of pairs (node, rep; a stored table) on whole sets, stored; whole(nodes) reads these."""
+    ends = pairs.select("node").unionByName(pairs.select(F.col("rep").alias("node"))).distinct()
+    sets = whole(ends)
+    sure = saved(compared(pairs, sets, percent), "sure")
+    forget(sets)
+    return sure
+
+
+def more_links(dealt: DataFrame, sets: DataFrame, whole, policy: JoinPolicy) -> DataFrame:
     """Links within blocks of rows: found on folded sets, a quarter of the bytes, then compared on whole ones.
 
     A block with a pair that whole sets don't confirm is done again with whole sets, as other pairs
     were left out for it.
     """
-    found = saved(_links_in(dealt, sets.select("node", "size", "folded"), policy.percent), "found")
+    block = ["key", "_first", "_second"]
+    nodes = saved(dealt.select("node").distinct(), "nodes")
+    found = saved(_links_in(dealt, _among(sets, "node", nodes), policy.percent), "found")
     pairs = saved(found.select(F.col("a").alias("node"), F.col("b").alias("rep")).distinct(), "again")
-    ends = saved(pairs.select("node").unionByName(pairs.select(F.col("rep").alias("node"))).distinct(), "ends")
-    again = compared(pairs, _among(sets.select("node", "grams"), "node", ends))
-    sure = saved(again.select(F.col("node").alias("a"), F.col("rep").alias("b"), "linked"), "sure")
+    if pairs.isEmpty():
+        forget(nodes, pairs)
+        return found.select("a", "b")
+    again = confirmed(pairs, whole, policy.percent)
+    sure = again.select(F.col("node").alias("a"), F.col("rep").alias("b"), "linked")
     links = sure.where("linked").select("a", "b")
-    wrong = found.join(sure.where("not linked"), ["a", "b"]).select("key", "_first", "_second").distinct()
+    wrong = found.join(sure.where("not linked"), ["a", "b"]).select(*block).distinct()
     if not sure.where("not linked").isEmpty():
-        whole = dealt.join(wrong, ["key", "_first", "_second"])
-        held = saved(whole.select("node").distinct(), "held")
-        links = links.unionByName(_links_in(whole, _among(sets.select("node", "grams"), "node", held), policy.percent).select("a", "b"))
+        unsure = saved(dealt.join(wrong, block), "unsure")
+        links = links.unionByName(_links_in(unsure, whole(unsure.select("node").distinct()), policy.percent).select("a", "b"))
     stored = saved(links, "links")
-    forget(found, sure, pairs, ends)
+    forget(nodes, found, again, pairs)
     return stored
 
 
@@ -448,7 +500,8 @@ def join_documents(docs: DataFrame, policy: JoinPolicy = JoinPolicy()) -> DataFr
     Documents with equal sets are one set. Sets that agree in a whole block of columns meet: each
     with the least of its key, and those apart from it with each other, in blocks of rows. One minus
     Jaccard is a metric, so a set that shares less than 2 * percent - 100 hundredths with the least one
-    can't link to sets that link to it. Rows without words link to nothing, not to each other. Rows
+    can't link to sets that link to it. Sets are compared folded to 16 bits, and what may link by these
+    on whole sets, which are read from the texts again. Rows without words link to nothing, not to each other. Rows
     without id count as any other; a component has the least id in it, null if there is none. An
     empty table gives an empty result.
     """
@@ -457,31 +510,23 @@ def join_documents(docs: DataFrame, policy: JoinPolicy = JoinPolicy()) -> DataFr
     rows = saved(sketches.select("doc_id", "node", "size"), "rows")
     forget(sketches)
     pairs = saved(met.select("node", "rep").distinct(), "pairs")
-    needed = pairs.select("node").unionByName(pairs.select(F.col("rep").alias("node"))).distinct()
-    sets = saved(sets_of(docs, rows, needed, policy), "sets")
     percent = policy.percent
-    far = 2 * percent - 100
+    ids = saved(least_ids(rows, pairs.select("node").unionByName(pairs.select(F.col("rep").alias("node"))).distinct()), "ids")
+    sets = saved(sets_of(docs, ids, policy, whole=False), "sets")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            linked, near = [], []
-            for a, b in zip(batch["grams"], batch["_grams"]):
-                total = len(a) + len(b)
-                both = overlap(a, b, -(-far * total // (100 + far)))
-                linked.append(both * (100 + percent) >= percent * total)
-                near.append(both * (100 + far) >= far * total)
-            yield pd.DataFrame({"node": batch["node"], "rep": batch["rep"], "linked": linked, "near": near})
-
-    def compared(some: DataFrame, whole: DataFrame) -> DataFrame:
-        both = some.join(whole.select(F.col("node").alias("rep"), F.col("grams").alias("_grams")), "rep").join(whole, "node")
-        return both.mapInPandas(compare, "node long, rep long, linked boolean, near boolean")
-
-    tested = saved(compared(pairs, sets.select("node", "grams")), "tested")
+    def whole(nodes: DataFrame) -> DataFrame:
+        return saved(sets_of(docs, saved(ids.join(nodes, "node"), "ids"), policy, whole=True), "whole")
+
+    guessed = saved(compared(pairs, sets, percent), "guessed")
+    likely = saved(guessed.where("linked").select("node", "rep"), "likely")
+    sure = confirmed(likely, whole, percent)
+    tested = saved(guessed.where("not linked").unionByName(sure), "tested")
+    forget(guessed, likely, sure)
     links = tested.where("linked").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     labels = components(links)
 
     dealt = saved(_open_blocks(met, tested, labels, sets, policy), "dealt")
-    more = more_links(dealt, sets, compared, policy)
+    more = more_links(dealt, sets, whole, policy)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     lowest = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_rows"))
@@ -490,7 +535,7 @@ def join_documents(docs: DataFrame, policy: JoinPolicy = JoinPolicy()) -> DataFr
     joined = named.where("label is not null")
     least = joined.groupBy("label").agg(F.min("_id").alias("component_id"))
     of_node = saved(apart.unionByName(joined.join(least, "label").select("node", "component_id")).withColumn("_in", F.lit(True)), "components")
-    forget(met, pairs, sets, tested, dealt, more)
+    forget(met, pairs, ids, sets, tested, dealt)
     return rows.join(of_node, "node", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

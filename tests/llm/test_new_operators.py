@@ -227,6 +227,28 @@ def test_rows_without_match_are_left_out_before_the_join(spark):
     assert set(wanted) <= set(found) and len(found) == len(set(found)) < 2 * len(wanted) + 50
 
 
+def test_only_likely_pairs_move_whole_sets(spark, monkeypatch):
+    """Of texts that meet by a passage only, folded sets are compared and no whole ones are stored; keys of the same sets are one."""
+    rng, stored, save = random.Random(6), {}, ngram_join.saved
+
+    def spy(df, name):
+        found = save(df, name)
+        stored.setdefault(name, []).append((found.columns, found.count()))
+        return found
+
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(60)] + passage)) for i in range(12)]
+    copy = [f"c{i}" for i in range(150)]
+    rows += [(20, " ".join(copy)), (21, " ".join([*copy, "more"]))]
+    monkeypatch.setattr(ngram_join, "saved", spy)
+    found = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute_join(rows)
+    assert stored["pairs"][0][1] > 1 and "grams" not in stored["sets"][0][0]
+    assert [n for _, n in stored["whole"]] == [2]
+    copies = spark.createDataFrame(rows[-2:], "doc_id long, text string")
+    assert ngram_join.meetings(save(ngram_join.sketch_sets(copies, ngram_join.JoinPolicy()), "sketches"), ngram_join.JoinPolicy()).count() == 1
+
+
 def test_join_edges(spark):
     rows = [
         (1, None), (2, ""), (3, " \n\t"), (4, "word " * 30_000), (5, "x" * 200_000), (6, "Same text HERE for two rows of it"), (6, "same text here for two rows of it"),
