@@ -111,16 +111,20 @@ def _class(at: int, policy: JoinPolicy) -> tuple[int, int]:
     return first, max(first + 1, int(first * policy.widen)) - 1
 
 
+def _differing(total: int, policy: JoinPolicy) -> int:
+    """The most members that are in one only of two linked sets with sizes summing to `total`."""
+    return total * (100 - policy.percent) // (100 + policy.percent)
+
+
 @cache
-def _layout(low: int, high: int, total: int, policy: JoinPolicy) -> tuple[int, int]:
-    """Column blocks for sets of low to high members that link with sizes summing to `total` at most, and spare ones."""
-    differing = total * (100 - policy.percent) // (100 + policy.percent)
-    spare = _spare(low, differing, policy.spare_odds)
-    return differing + 1 + spare, spare
+def _layout(low: int, total: int, policy: JoinPolicy) -> int:
+    """Column blocks, spare ones included, for sets of `low` members at least that link with sizes summing to `total` at most."""
+    differing = _differing(total, policy)
+    return differing + 1 + _spare(low, differing, policy.spare_odds)
 
 
 def column_layouts(n: int, policy: JoinPolicy) -> list[tuple[int, int, int]]:
-    """(id, column blocks, spare ones) of the layouts in which a set of n members takes part.
+    """(id, column blocks, blocks in which linked sets may differ from it) of the layouts in which a set of n members takes part.
 
     One for its class of sizes, and one for each border of classes that a linked set may lie beyond:
     sizes of linked sets differ by at most the factor percent / 100.
@@ -131,11 +135,12 @@ def column_layouts(n: int, policy: JoinPolicy) -> list[tuple[int, int, int]]:
     while _class(at, policy)[1] < n:
         at += 1
     first, last = _class(at, policy)
-    found = [(2 * at, *_layout(first, last, 2 * last, policy))]
+    widest = n * 100 // policy.percent
+    found = [(2 * at, _layout(first, 2 * last, policy), _differing(n + min(last, widest), policy))]
     for border, beyond in ((at, first), (at + 1, last + 1)):
         low, high = -(-policy.percent * beyond // 100), (beyond - 1) * 100 // policy.percent
         if border and low <= n <= high:
-            found.append((2 * border + 1, *_layout(low, high, beyond - 1 + high, policy)))
+            found.append((2 * border + 1, _layout(low, beyond - 1 + high, policy), _differing(n + (widest if n < beyond else beyond - 1), policy)))
     return found
 
 
@@ -144,17 +149,21 @@ def block_keys(grams: np.ndarray, policy: JoinPolicy) -> np.ndarray:
 
     Linked sets of n and m members differ in at most (n + m) * (100 - percent) / (100 + percent)
     shingles. Columns are dealt into more blocks than that, so linked sets agree in all of some block,
-    even in one that isn't empty unless more of them are empty than there are spare ones; only sets
-    with so many have keys for empty blocks too. So no link is lost, and sets that share a frequent
-    shingle or passage only have no key in common.
+    even in one that isn't empty if the set fills more blocks than linked ones may differ in; only sets
+    that don't have keys for empty blocks too. The others have keys for their last filled blocks, one
+    more than may differ: of those in which two sets agree, one is among the last of both, as the longer
+    of the first parts left out holds fewer filled blocks than agree. So no link is lost, and sets that
+    share a frequent shingle or passage only have no key in common.
     """
     found = [np.empty(0, np.uint64)]
     mixed = _mix(grams + _GROUP)
-    for layout, blocks, spare in column_layouts(len(grams), policy):
+    for layout, blocks, differing in column_layouts(len(grams), policy):
         block = ((grams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         content, at = np.add.reduceat(mixed, start), block[start]
-        if blocks - len(start) > spare:
+        if len(start) > differing:
+            content, at = content[-differing - 1 :], at[-differing - 1 :]
+        else:
             gaps = np.setdiff1d(np.arange(blocks, dtype=np.uint64), at, assume_unique=True)
             content, at = np.concatenate([content, np.zeros(len(gaps), np.uint64)]), np.concatenate([at, gaps])
         found.append(_mix(content + _mix(at + np.array([layout], np.uint64) * _GROUP)))

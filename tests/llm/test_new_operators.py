@@ -185,6 +185,24 @@ def test_linked_sets_have_a_key_in_common():
                     assert len(np.intersect1d(ngram_join.block_keys(a, policy), ngram_join.block_keys(b, policy)))
 
 
+def test_sets_have_no_more_keys_than_links_need():
+    """One more than the blocks in which linked sets may differ from it, if the set fills so many; sets at the bound still meet."""
+    rng, policy = np.random.default_rng(12), ngram_join.JoinPolicy()
+    for n in (150, 170, 300, 333, 337, 500, 1000, 3000):
+        grams = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        layouts = ngram_join.column_layouts(n, policy)
+        assert len(ngram_join.block_keys(grams, policy)) == sum(differing + 1 for _, _, differing in layouts)
+        assert all(differing <= (n + n * 100 // 85) * 15 // 185 for _, _, differing in layouts)
+    for _ in range(3000):
+        n = int(rng.integers(6, 400))
+        m = int(rng.integers(n, n * 100 // 85 + 1))
+        need = int(ngram_join.least_overlap(85, n, np.array(m)))
+        if need <= n:
+            pool = rng.integers(0, 1 << 64, n + m, dtype=np.uint64)
+            a, b = np.unique(pool[:n]), np.unique(np.r_[pool[:need], pool[n : n + m - need]])
+            assert len(np.intersect1d(ngram_join.block_keys(a, policy), ngram_join.block_keys(b, policy)))
+
+
 @pytest.mark.parametrize("width", [1, 5, 128])
 def test_product_of_blocks_counts_overlaps(width):
     rng = np.random.default_rng(8)
